@@ -26,6 +26,12 @@ def op5_secret_markov(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op6_block_matrix_ann(spark, sf_dir):
+    from .blockmatrix_ann import self_search
+
+    return self_search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_sentencepiece(spark, sf_dir):
     from .sp_backend import encode_digest
 
@@ -38,6 +44,12 @@ def op8_rank_langid(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_infotheory(spark, sf_dir):
+    from .pii_infotheory import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op10_bestfit_packing(spark, sf_dir):
     from .bestfit_pack import pack
 

@@ -20,6 +20,12 @@ def op1_ogg_media(spark, sf_dir):
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_interpolated_lm(spark, sf_dir):
+    from .interp_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_markov(spark, sf_dir):
     from .secret_markov import scan
 

@@ -26,6 +26,12 @@ def op3_interpolated_lm(spark, sf_dir):
     return score(table(spark, sf_dir, "documents"))
 
 
+def op4_lsh_forest_join(spark, sf_dir):
+    from .lsh_forest import similar
+
+    return similar(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_markov(spark, sf_dir):
     from .secret_markov import scan
 

@@ -20,6 +20,12 @@ def op1_ogg_media(spark, sf_dir):
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_template_html(spark, sf_dir):
+    from .template_html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_interpolated_lm(spark, sf_dir):
     from .interp_lm import score
 

@@ -248,10 +248,12 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` that represent their class: of each id, those with the least id of its class, once.
+    """The rows of `df` whose id is the least of its class; of repeated rows one stays, rows with a null id all do.
 
-    Rows whose id is null are kept.
+    Only sets with copies can hold repeated rows, so no others are shuffled whole.
     """
-    firsts = similar(df, id_col, text_col).where("doc_id = class_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = df.join(firsts, F.col(id_col).cast("long") == F.col("__first"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    firsts = written(similar(df, id_col, text_col).where("doc_id = class_id").groupBy(F.col("doc_id").alias("__first")).agg(F.max(F.col("n_copies") > 1).alias("__copies")), "near-firsts").df
+    kept = df.join(firsts, F.col(id_col).cast("long") == F.col("__first"))
+    back = [F.col(f"`{c}`") for c in df.columns]
+    once = kept.where("not __copies").select(back).unionByName(kept.where("__copies").select(back).dropDuplicates([id_col]))
+    return once.unionByName(df.where(F.col(id_col).isNull()))

@@ -1,11 +1,54 @@
-"""The training-data pipeline: language ID, near duplicates, secrets, packing."""
+"""The training-data pipeline: language ID, near duplicates, secret scans, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
+last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from topospan.llm import bestfit_pack, lsh_forest, rank_langid, secret_markov
+from topospan.llm.common import fold
+
+#: A text whose nearest profile is farther than this (1 - distance / largest distance) is in no known language.
+LEAST_SCORE = 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters and texts far from every language's profile."""
+    known = rank_langid.train(docs.where(fold("doc_id", 3) != 1))
+    predicted = rank_langid.predict(docs, known)
+    return predicted.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of texts with a shingle similarity of 0.8 or more."""
+    return lsh_forest.one_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by [SECRET]; no document goes."""
+    return secret_markov.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of at most 2048 words, without two documents of a source or two copies in one."""
+    return bestfit_pack.pack(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packing)]
+
+#: No SQL can express the first stage's ranks and the second's groups over whole tables in bounded time.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written and read again."""
+    from topospan.llm.common import written
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -173,7 +173,8 @@ def stitch(points: DataFrame, criticals: DataFrame | None, step: float, gamma: f
     """(vertices, edges) of the graph of traced points and critical points (x, y).
 
     Consecutive points are joined and closed traces close. An end is joined to the nearest critical
-    point within gamma steps, or else to the nearest end of another trace; a trace whose two ends are
+    point within gamma steps (a trace that passes one within a step, without an end there, is joined
+    to it by its nearest point), or else to the nearest end of another trace; a trace whose two ends are
     still free closes if they are within a step. Of ends that reach a critical point from within `angle`
     degrees of a nearer one, the nearer stays.
     """
@@ -201,6 +202,9 @@ def stitch(points: DataFrame, criticals: DataFrame | None, step: float, gamma: f
         hit = own.withColumn("k", F.row_number().over(W.partitionBy("vid").orderBy("d2", "cp"))).where("k = 1").withColumn("k", F.row_number().over(W.partitionBy("trace", "cp").orderBy("d2", "vid"))).where("k = 1")
         hit = written(_spread_out(hit, angle), "stitch-hits").df
         made = made.unionByName(hit.select(F.col("vid").alias("src"), F.col("cp").alias("dst")))
+        passing = cell(v, "vid", F.col("first").alias("trace")).join(c.select(F.col("vid").alias("cp"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.explode(wide).alias("cell")), "cell").withColumn("d2", d2).where(F.col("d2") <= step * step)
+        passing = passing.groupBy("trace", "cp").agg(F.min_by("vid", F.struct("d2", "vid")).alias("vid")).join(own.select("trace", "cp").distinct(), ["trace", "cp"], "left_anti")
+        made = made.unionByName(passing.select(F.col("vid").alias("src"), F.col("cp").alias("dst")))
         vertices = vertices.unionByName(c.select("vid", "x", "y", (F.col("value") if "value" in c.columns else F.lit(0.0)).alias("z"), F.lit(CRITICAL).alias("type")))
         free = ends.join(own.select("vid").distinct(), "vid", "left_anti")
     links = cell(free, "vid", "trace").join(free.select(F.col("vid").alias("to"), F.col("trace").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.explode(wide).alias("cell")), "cell").where("trace != other").withColumn("d2", d2).where(F.col("d2") <= reach * reach)

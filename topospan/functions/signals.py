@@ -13,7 +13,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PI, E = repr(math.pi), repr(math.e)
+
+def number(x: float) -> str:
+    """A double literal; engines take 0.5 for a decimal."""
+    return repr(float(x)) if "e" in repr(float(x)) else f"{float(x)!r}e0"
+
+
+PI, E = number(math.pi), number(math.e)
 
 
 def _sum(terms) -> str:
@@ -55,7 +61,7 @@ def _sinc_sum_2(x, s, f, l):
 
 def _ackley(x, s, f, l):
     d = len(x)
-    return f"{s} * (-20e0 * exp(-0.2e0 * sqrt({_sum(f'{c} * {c}' for c in x)} / {d})) - exp({_sum(f'cos({2 * math.pi!r} * {c})' for c in x)} / {d}) + 20e0 + {E})"
+    return f"{s} * (-20e0 * exp(-0.2e0 * sqrt({_sum(f'{c} * {c}' for c in x)} / {d})) - exp({_sum(f'cos({number(2 * math.pi)} * {c})' for c in x)} / {d}) + 20e0 + {E})"
 
 
 def _gaussian(x, y, amplitude, cx, cy, ax, ay):
@@ -70,17 +76,17 @@ PAIR_2 = ((0.25, 0.3, 0.2, 0.1), (0.5, 0.75, 0.25, 0.12))
 
 
 def _gaussian_mixture(x, s, f, l):
-    return _sum(_gaussian(x[0], x[1], *(f"{v!r}" for v in bump)) for bump in MIXTURE)
+    return _sum(_gaussian(x[0], x[1], *(f"{number(v)}" for v in bump)) for bump in MIXTURE)
 
 
 def _pair(bumps):
-    return lambda x, s, f, l: _sum(_gaussian(x[0], x[1], f"{a!r}", f"{cx!r}", f"{cy!r}", f"{1 / (2 * w * w)!r}", f"{1 / (2 * w * w)!r}") for a, cx, cy, w in bumps)
+    return lambda x, s, f, l: _sum(_gaussian(x[0], x[1], f"{number(a)}", f"{number(cx)}", f"{number(cy)}", f"{number(1 / (2 * w * w))}", f"{number(1 / (2 * w * w))}") for a, cx, cy, w in bumps)
 
 
 def _rotating_gaussian(x, s, f, l):
     """A bump on a circle of radius 0.7; for 1 < t < 3 the larger of it and one that turns the other way."""
     px, py, t = x
-    angle = f"{math.pi / 2!r} * {t}"
+    angle = f"{number(math.pi / 2)} * {t}"
 
     def bump(sign, offset):
         return _gaussian(px, py, "1e0", f"0.7e0 * cos({sign}{angle} + {offset})", f"0.7e0 * sin({sign}{angle} + {offset})", "2e0", "2e0")
@@ -90,11 +96,11 @@ def _rotating_gaussian(x, s, f, l):
 
 
 def _schwefel(x, s, f, l):
-    return f"{s} * 0.5e0 * ({418.9829 * len(x)!r} - {_sum(f'{c} * sin(sqrt(abs({c})))' for c in x)})"
+    return f"{s} * 0.5e0 * ({number(418.9829 * len(x))} - {_sum(f'{c} * sin(sqrt(abs({c})))' for c in x)})"
 
 
 def _rastrigin(x, s, f, l):
-    return f"{s} * 0.1e0 * ({10.0 * len(x)!r} + {_sum(f'({c} * {c} - 10e0 * cos({2 * math.pi!r} * {c}))' for c in x)})"
+    return f"{s} * 0.1e0 * ({number(10.0 * len(x))} + {_sum(f'({c} * {c} - 10e0 * cos({number(2 * math.pi)} * {c}))' for c in x)})"
 
 
 def _squares(x, offsets, weights):
@@ -102,7 +108,7 @@ def _squares(x, offsets, weights):
 
 
 def _ratio(a, k):
-    return f"CASE WHEN {a} = 0 THEN {float(k)!r} ELSE sin({k} * {a}) / {a} END"
+    return f"CASE WHEN {a} = 0 THEN {number(float(k))} ELSE sin({k} * {a}) / {a} END"
 
 
 def _psinc(kind):
@@ -126,7 +132,7 @@ def _psinc(kind):
 def _ml(x, s, f, l):
     px, py, pz = x
     radius = f"sqrt({px} * {px} + {py} * {py} + {pz} * {pz})"
-    wave = f"cos({2 * math.pi!r} * {f} * cos({PI} * {radius} / 2))"
+    wave = f"cos({number(2 * math.pi)} * {f} * cos({PI} * {radius} / 2))"
     return f"(1 - sin({PI} * {pz} / 2) + {s} * (1 + {wave} * sqrt({px} * {px} + {py} * {py}))) / (2 * (1 + {s}))"
 
 
@@ -138,7 +144,7 @@ def _f16(x, s, f, l):
 def _f17(x, s, f, l):
     e, g, m = x
     gamma = f"sqrt({m} * {m} * ({m} * {m} + {g} * {g}))"
-    return f"({2 * math.sqrt(2)!r} * {m} * {g} * {gamma} / ({PI} * sqrt({m} * {m} + {gamma}))) / (({e} * {e} - {m} * {m}) * ({e} * {e} - {m} * {m}) + {m} * {m} * {g} * {g})"
+    return f"({number(2 * math.sqrt(2))} * {m} * {g} * {gamma} / ({PI} * sqrt({m} * {m} + {gamma}))) / (({e} * {e} - {m} * {m}) * ({e} * {e} - {m} * {m}) + {m} * {m} * {g} * {g})"
 
 
 def _f18(x, s, f, l):
@@ -154,7 +160,7 @@ SIGNALS: dict[str, Callable] = {
 
 def signal_sql(name: str, coordinates: Sequence[str], scale: float = 1.0, frequency: float = 1.0, component: int = 0) -> str:
     """The SQL text of a signal of coordinate expressions."""
-    return SIGNALS[name](list(coordinates), f"{float(scale)!r}", f"{float(frequency)!r}", component)
+    return SIGNALS[name](list(coordinates), f"{number(float(scale))}", f"{number(float(frequency))}", component)
 
 
 def signal(name: str | Callable[..., Column], coordinates: Sequence[str], scale: float = 1.0, frequency: float = 1.0, component: int = 0) -> Column:
@@ -181,8 +187,8 @@ def ackley_gradient_sql(x: Sequence[str]) -> list[str]:
     """First derivatives of ackley away from 0."""
     d = len(x)
     r = f"sqrt({_sum(f'{c} * {c}' for c in x)} / {d})"
-    waves = f"exp({_sum(f'cos({2 * math.pi!r} * {c})' for c in x)} / {d})"
-    return [f"(4e0 * exp(-0.2e0 * {r}) * {c} / ({d} * {r}) + {2 * math.pi / d!r} * sin({2 * math.pi!r} * {c}) * {waves})" for c in x]
+    waves = f"exp({_sum(f'cos({number(2 * math.pi)} * {c})' for c in x)} / {d})"
+    return [f"(4e0 * exp(-0.2e0 * {r}) * {c} / ({d} * {r}) + {number(2 * math.pi / d)} * sin({number(2 * math.pi)} * {c}) * {waves})" for c in x]
 
 
 def sinc_derivatives_sql(x: str) -> tuple[str, str, str]:

@@ -23,7 +23,7 @@ from ..operators import contour, graph, prune, score, spatial
 from ..operators.solve import morse_index_2d
 from ..sources import files, grids
 from ..sources import sinks as sinks
-from .sql_text import betti_sql, crossings_sql, grid_sql, neighbours_sql
+from .sql_text import betti_sql, crossings_sql, grid_sql, jacobi_sql, neighbours_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,12 +138,12 @@ def agg02(spark, sf_dir):
     return grids.bounds(table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_discount").alias("y")))
 
 
-@query("ext01_critical_points_table", neighbours_sql(_FIELD.format(c="l_extendedprice"), "q") + " SELECT * FROM q WHERE type IS NOT NULL")
+@query("ext01_critical_points_table", neighbours_sql(_FIELD.format(c="l_extendedprice")) + " SELECT * FROM q WHERE type IS NOT NULL")
 def ext01_table(spark, sf_dir):
     return contour.discrete_critical_points(lineitem_field(spark, sf_dir))
 
 
-@query("ext01_critical_points", neighbours_sql(grid_sql("sinc_sum", (61, 61), digits=6), "q") + " SELECT type, count(*) AS n FROM q WHERE type IS NOT NULL GROUP BY type")
+@query("ext01_critical_points", neighbours_sql(grid_sql("sinc_sum", (61, 61), digits=6)) + " SELECT type, count(*) AS n FROM q WHERE type IS NOT NULL GROUP BY type")
 def ext01(spark, sf_dir):
     f = grids.rectilinear(spark, "sinc_sum", (61, 61)).withColumn("value", F.round("value", 6))
     return contour.discrete_critical_points(f).groupBy("type").agg(F.count("*").alias("n"))
@@ -164,10 +164,7 @@ def ext03_table(spark, sf_dir):
     return contour.level_set(lineitem_field(spark, sf_dir), 38250.5)[1].select("src", "dst")
 
 
-_PAIR = f"(SELECT a.i, a.j, (a2.value - a1.value) / (a2.x - a1.x) * ((b4.value - b3.value) / (b4.y - b3.y)) - (a4.value - a3.value) / (a4.y - a3.y) * ((b2.value - b1.value) / (b2.x - b1.x)) AS value FROM fa a JOIN fa a1 ON a1.i = a.i - 1 AND a1.j = a.j JOIN fa a2 ON a2.i = a.i + 1 AND a2.j = a.j JOIN fa a3 ON a3.i = a.i AND a3.j = a.j - 1 JOIN fa a4 ON a4.i = a.i AND a4.j = a.j + 1 JOIN fb b1 ON b1.i = a.i - 1 AND b1.j = a.j JOIN fb b2 ON b2.i = a.i + 1 AND b2.j = a.j JOIN fb b3 ON b3.i = a.i AND b3.j = a.j - 1 JOIN fb b4 ON b4.i = a.i AND b4.j = a.j + 1)"
-
-
-@query("ext04_jacobi_set", betti_sql(f"fa AS (SELECT * FROM {grid_sql('gaussian_pair1', (101, 101))}), fb AS (SELECT * FROM {grid_sql('gaussian_pair2', (101, 101))}), " + crossings_sql(_PAIR, 0.0)))
+@query("ext04_jacobi_set", betti_sql(jacobi_sql(grid_sql("gaussian_pair1", (101, 101)), grid_sql("gaussian_pair2", (101, 101))) + ", " + crossings_sql("h", 0.0)))
 def ext04(spark, sf_dir):
     h = contour.jacobi_field(grids.rectilinear(spark, "gaussian_pair1", (101, 101)), grids.rectilinear(spark, "gaussian_pair2", (101, 101)))
     return graph.betti(*contour.level_set(h, 0.0))

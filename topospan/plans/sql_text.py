@@ -28,35 +28,46 @@ def grid_sql(name: str, n: Sequence[int], value: str = "value", digits: int | No
     return f"(SELECT *, {v} AS {value} FROM (SELECT *, {places} FROM (SELECT {', '.join(index)} FROM range({total}) t(r))))"
 
 
+def spread_sql(field: str, offsets: Sequence[tuple[int, int]], columns: Sequence[str], name: str) -> str:
+    """A CTE of the vertices that have all offsets, with the values there: columns c_0 (own), c_1, ..."""
+    rows = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate([(0, 0), *offsets]))
+    wide = ", ".join(f"max(CASE WHEN o = {k} THEN {c} END) AS {c}_{k}" for k in range(len(offsets) + 1) for c in columns)
+    return f"{name} AS (SELECT i - a AS i, j - b AS j, {wide} FROM {field}, (VALUES {rows}) t(o, a, b) GROUP BY 1, 2 HAVING count(*) = {len(offsets) + 1})"
+
+
 def crossings_sql(field: str, level: float) -> str:
     """CTEs v(vid) and e(src, dst) of marching triangles on a field (i, j, value)."""
-    sides = {"b": ("v0", "v1", 0, 0, 0), "l": ("v0", "v2", 1, 0, 0), "d": ("v1", "v2", 2, 0, 0), "r": ("v1", "v3", 1, 1, 0), "t": ("v2", "v3", 0, 0, 1)}
-    keys = ", ".join(f"CASE WHEN ({a} > {level}) <> ({b} > {level}) THEN {CELL.format(di=di, dj=dj, kind=k)} END AS {s}" for s, (a, b, k, di, dj) in sides.items())
+    sides = {"b": (0, 1, 0, 0, 0), "l": (0, 2, 1, 0, 0), "d": (1, 2, 2, 0, 0), "r": (1, 3, 1, 1, 0), "t": (2, 3, 0, 0, 1)}
+    keys = ", ".join(f"CASE WHEN (value_{a} > {level}) <> (value_{b} > {level}) THEN {CELL.format(di=di, dj=dj, kind=k)} END AS {s}" for s, (a, b, k, di, dj) in sides.items())
     pairs = " UNION ALL ".join(f"SELECT least({p}, {q}) AS src, greatest({p}, {q}) AS dst FROM k WHERE {p} IS NOT NULL AND {q} IS NOT NULL" for p, q in (("b", "d"), ("b", "l"), ("d", "l"), ("r", "t"), ("r", "d"), ("t", "d")))
-    return f"""f AS (SELECT i, j, value FROM {field}),
-c AS (SELECT a.i, a.j, a.value AS v0, b.value AS v1, c.value AS v2, d.value AS v3 FROM f a JOIN f b ON b.i = a.i + 1 AND b.j = a.j JOIN f c ON c.i = a.i AND c.j = a.j + 1 JOIN f d ON d.i = a.i + 1 AND d.j = a.j + 1),
+    return f"""{spread_sql(field, [(1, 0), (0, 1), (1, 1)], ["value"], "c")},
 k AS (SELECT {keys} FROM c),
-e AS ({pairs}),
-v AS (SELECT src AS vid FROM e UNION SELECT dst FROM e)"""
+e AS MATERIALIZED ({pairs}),
+v AS MATERIALIZED (SELECT src AS vid FROM e UNION SELECT dst FROM e)"""
+
+
+def jacobi_sql(f: str, g: str) -> str:
+    """CTE h(i, j, value): f_x g_y - f_y g_x by central differences of two fields on one grid."""
+    both = f"(SELECT f.i, f.j, f.x, f.y, f.value AS f, g.value AS g FROM {f} f JOIN {g} g ON f.i = g.i AND f.j = g.j)"
+    d = lambda c, a, b, h: f"(({c}_{a} - {c}_{b}) / ({h}))"
+    dx, dy = "x_1 - x_2", "y_3 - y_4"
+    return f"{spread_sql(both, [(1, 0), (-1, 0), (0, 1), (0, -1)], ['f', 'g', 'x', 'y'], 'w')}, h AS (SELECT i, j, {d('f', 1, 2, dx)} * {d('g', 3, 4, dy)} - {d('f', 3, 4, dy)} * {d('g', 1, 2, dx)} AS value FROM w)"
 
 
 def betti_sql(ctes: str) -> str:
-    """Betti numbers of the graph v(vid), e(src, dst) that the CTEs define."""
+    """Betti numbers of the graph v(vid), e(src, dst) that the CTEs define; components by least labels, kept by node."""
     return f"""WITH RECURSIVE {ctes},
-n AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
-reach(a, b) AS (SELECT vid, vid FROM v UNION SELECT reach.a, n.b FROM reach JOIN n ON n.a = reach.b),
-root AS (SELECT a, min(b) AS r FROM reach GROUP BY a),
+n AS MATERIALIZED (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+root(a, r) USING KEY (a) AS (SELECT vid, vid FROM v UNION (SELECT n.a, min(o.r) FROM root o JOIN n ON n.b = o.a JOIN recurring.root m ON m.a = n.a WHERE o.r < m.r GROUP BY n.a)),
 deg AS (SELECT vid, count(x) AS degree FROM v LEFT JOIN (SELECT src AS x FROM e UNION ALL SELECT dst FROM e) ON x = vid GROUP BY vid),
 s AS (SELECT (SELECT count(*) FROM v) AS vertices, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM deg WHERE degree = 0) AS isolated, (SELECT count(*) FROM root JOIN deg ON vid = a WHERE a = r AND degree > 0) AS components, (SELECT count(*) FROM deg WHERE degree >= 3) AS deg3)
 SELECT vertices, edges, isolated, components, edges - vertices + components + isolated AS loops, deg3 FROM s"""
 
 
-def neighbours_sql(field: str, kind: str) -> str:
-    """Discrete critical points with all eight neighbours: (i, j, type)."""
+def neighbours_sql(field: str) -> str:
+    """CTE q(i, j, type) of discrete critical points by all eight neighbours."""
     ring = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
-    joins = " ".join(f"JOIN f n{k} ON n{k}.i = a.i + ({di}) AND n{k}.j = a.j + ({dj})" for k, (di, dj) in enumerate(ring))
-    up = [f"(n{k}.value > a.value)" for k in range(8)]
+    up = [f"(value_{k} > value_0)" for k in range(1, 9)]
     changes = " + ".join(f"CASE WHEN {a} <> {b} THEN 1 ELSE 0 END" for a, b in zip(up, [*up[1:], up[0]], strict=True))
-    low = " AND ".join(f"n{k}.value < a.value" for k in range(8))
-    high = " AND ".join(up)
-    return f"WITH f AS (SELECT * FROM {field}), {kind} AS (SELECT a.i, a.j, CASE WHEN {low} THEN 'max' WHEN {high} THEN 'min' WHEN {changes} >= 4 THEN 'saddle' END AS type FROM f a {joins})"
+    low = " AND ".join(f"value_{k} < value_0" for k in range(1, 9))
+    return f"WITH {spread_sql(field, ring, ['value'], 'w')}, q AS (SELECT i, j, CASE WHEN {low} THEN 'max' WHEN {' AND '.join(up)} THEN 'min' WHEN {changes} >= 4 THEN 'saddle' END AS type FROM w)"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..datasets import DATASETS
-from ..functions.signals import signal
+from ..functions.signals import number, signal
 
 AXES = ("x", "y", "z", "t")
 INDEX = ("i", "j", "k", "m")
@@ -16,7 +16,7 @@ INDEX = ("i", "j", "k", "m")
 
 def coordinates(n: Sequence[int], mins: Sequence[float], maxs: Sequence[float]) -> list[str]:
     """SQL text of each coordinate over index columns: min + i (max - min) / (n - 1)."""
-    return [f"({float(a)!r} + {c} * {(b - a) / max(k - 1, 1)!r})" for c, k, a, b in zip(INDEX, n, mins, maxs, strict=False)]
+    return [f"({number(a)} + {c} * {number((b - a) / max(k - 1, 1))})" for c, k, a, b in zip(INDEX, n, mins, maxs, strict=False)]
 
 
 def lattice(spark: SparkSession, n: Sequence[int]) -> DataFrame:

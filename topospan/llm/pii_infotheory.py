@@ -2,19 +2,19 @@
 
 The protected entities are the values that the fixed patterns find (an address, a number, as
 written but for case). Corpus co-occurrence estimates how strongly a term reveals an entity
-(Sanchez, Batet and Viejo, 2013): with n(c) distinct texts that hold entity c, n(t) that hold term
-t, n(c,t) where t stands within `window` characters of c and N texts in all,
+(Sanchez, Batet and Viejo, 2013): with n(c) documents that hold entity c, n(t) that hold term t,
+n(c,t) where t stands within `window` characters of c and N documents in all,
 
     disclosure(c, t) = PMI(c; t) / IC(c) = log(n(c,t) N / (n(c) n(t))) / log(N / n(c)),
 
 which is 1 if the term gives the entity away. Terms (words of four or more letters, in lower
-case) of at least `least` and `support` texts are disclosing; in each text that holds c they are
+case) of at least `least`, near c in at least `support` distinct texts, are disclosing; in each text that holds c they are
 removed or generalised too, wherever they stand, as spans of the kind `term`.
 
-Everything is a DataFrame expression and all statistics cover all distinct texts: copies count
-once, by a 128-bit hash of the text. Only terms with enough support are counted over the corpus;
-that list is broadcast only if its written size is under `small_bytes`, and joined by a shuffle
-otherwise.
+Everything is a DataFrame expression and all statistics cover all documents; for the support,
+copies count once, by a 128-bit hash of the text. Counts are summed before each shuffle. The list
+of texts with disclosing terms is broadcast only if its written size is under `small_bytes`, and
+joined by a shuffle otherwise.
 
 Defined results: null and empty texts have no spans; whole texts are scanned; equal texts have
 equal spans; texts without an entity never get term spans; offsets are code points.
@@ -96,19 +96,16 @@ def _cheap(table: Table, small_bytes: int) -> DataFrame:
     return F.broadcast(table.df) if table.size() <= small_bytes else table.df
 
 
-def disclosing(entities: DataFrame, texts: DataFrame, support: int = SUPPORT, least: float = LEAST, small_bytes: int = SMALL_BYTES) -> DataFrame:
+def disclosing(entities: DataFrame, texts: DataFrame, support: int = SUPPORT, least: float = LEAST) -> DataFrame:
     """(entity, term, disclosure) of the disclosing terms.
 
-    entities: key, entity, context; texts: text, over the corpus.
+    entities: key, copies, entity, context; texts: text, over the corpus.
     """
-    near = entities.select("key", "entity", F.explode(_words(F.col("context"))).alias("term")).where(~F.contains("entity", "term")).distinct()
-    pairs = written(near.groupBy("entity", "term").agg(F.count("*").alias("nct")).where(F.col("nct") >= support), "pii-pairs")
-    terms = written(pairs.df.select("term").distinct(), "pii-terms")
-    holds = texts.select(_key(F.col("text")).alias("key"), F.explode(_words(F.col("text"))).alias("term")).join(_cheap(terms, small_bytes), "term")
-    nt = holds.distinct().groupBy("term").agg(F.count("*").alias("nt"))
-    nc = entities.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("nc"))
-    total = texts.select(_key(F.col("text")).alias("key")).distinct().count()
-    n = F.lit(float(max(total, 2)))
+    near = entities.select("key", "copies", "entity", F.explode(_words(F.col("context"))).alias("term")).where(~F.contains("entity", "term")).distinct()
+    pairs = written(near.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("nct")).where(F.col("texts") >= support), "pii-pairs")
+    nt = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
+    nc = entities.select("key", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("nc"))
+    n = F.lit(float(max(texts.count(), 2)))
     score = F.log(F.col("nct") * n / (F.col("nc") * F.col("nt"))) / F.greatest(F.log(n / F.col("nc")), F.lit(1e-9))
     return pairs.df.join(nc, "entity").join(nt, "term").select("entity", "term", score.alias("disclosure")).where(F.col("disclosure") >= least)
 
@@ -121,9 +118,9 @@ def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     around = F.transform("__base", lambda x: F.struct(F.lower(F.substring(F.col("text"), x["s"] + 1, x["e"] - x["s"])).alias("entity"), F.concat_ws(" ", F.substring(F.col("text"), F.greatest(x["s"] - window, F.lit(0)) + 1, F.least(x["s"], F.lit(window))), F.substring(F.col("text"), x["e"] + 1, F.lit(window))).alias("context")))
     base = written(with_base(slim).select("doc_id", _key(F.col("text")).alias("key"), F.col("__base").alias("base"), F.when(F.size("__base") > 0, around).alias("around")), "pii-base").df
-    one = base.where(F.size("base") > 0).groupBy("key").agg(F.first("around").alias("around"), F.first("base").alias("base"))
-    entities = written(one.select("key", F.explode("around").alias("x")).select("key", "x.entity", "x.context"), "pii-entities").df
-    terms = disclosing(entities, slim.select("text"), support, least, small_bytes)
+    one = base.where(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("copies"), F.first("around").alias("around"), F.first("base").alias("base"))
+    entities = written(one.select("key", "copies", F.explode("around").alias("x")).select("key", "copies", "x.entity", "x.context"), "pii-entities").df
+    terms = disclosing(entities, slim.select("text"), support, least)
     listed = entities.select("key", "entity").distinct().join(terms, "entity").groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     wanted = written(listed.join(one.select("key", "base"), "key"), "pii-wanted")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))

@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import Table, fold, written
 
-BLOCK_TOKENS = 2_000_000
-SHARD_KEYS = 1_000_000
+BLOCK_TOKENS = 1_200_000
+SHARD_KEYS = 600_000
 ROUNDS = 60
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 _END = b""  # no word is empty

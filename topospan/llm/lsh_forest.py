@@ -235,7 +235,7 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     sets = written(known.groupBy("a", "b").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_copies"), F.first("keys").alias("keys")), "near-sets").df
     places = sets.select("doc", F.posexplode("keys").alias("tree", "key"))
     shared = written(places.groupBy("tree", "key").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-buckets")
-    ties = places.join(F.broadcast(shared.df) if shared.size() <= small_bytes else shared.df, ["tree", "key"]).where("doc != least").select(F.col("doc").alias("a"), F.col("least").alias("b"))
+    ties = places.join(shared.df.hint("merge"), ["tree", "key"]).where("doc != least").select(F.col("doc").alias("a"), F.col("least").alias("b"))
     tied = components(ties)
     members = written(tied.select(F.col("node").alias("doc"), "root").union(tied.select(F.col("root").alias("doc"), "root").distinct()), "near-members").df
     found = written(verify(members, slim, words, similarity_parts, tile, small_bytes), "near-links").df
@@ -253,7 +253,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Only sets with copies can hold repeated rows, so no others are shuffled whole.
     """
     firsts = written(similar(df, id_col, text_col).where("doc_id = class_id").groupBy(F.col("doc_id").alias("__first")).agg(F.max(F.col("n_copies") > 1).alias("__copies")), "near-firsts").df
-    kept = df.join(firsts, F.col(id_col).cast("long") == F.col("__first"))
+    kept = df.join(firsts.hint("merge"), F.col(id_col).cast("long") == F.col("__first"))
     back = [F.col(f"`{c}`") for c in df.columns]
     once = kept.where("not __copies").select(back).unionByName(kept.where("__copies").select(back).dropDuplicates([id_col]))
     return once.unionByName(df.where(F.col(id_col).isNull()))

@@ -62,7 +62,9 @@ def _pair_counts(words: DataFrame) -> dict[str, int]:
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, n_random: int = 4000) -> list[float]:
     """log(P random / P ordinary) of each pair of ASCII characters, at 128 * first + second."""
-    sample = df.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).orderBy("h", "text").limit(sample_docs)
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    last = df.select(h.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    sample = df.where(h <= (0 if last is None else last)).select(h.alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).orderBy("h", "text").limit(sample_docs)
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = sample.select(F.regexp_extract_all(plain, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("words")).where(F.size("words") > 0)
     joint = F.transform("words", lambda w, i: F.concat(w, F.element_at(F.array(F.lit("_"), F.lit("-"), F.lit("")), (i % 3 + 1).cast("int")), F.when(i % 3 == 2, F.initcap(F.col("words")[(i + 1) % F.size("words")])).otherwise(F.col("words")[(i + 1) % F.size("words")])))

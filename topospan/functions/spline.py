@@ -214,6 +214,10 @@ def blend(parts: DataFrame, weight: str = "w", value: str = "value", keys: Seque
     return parts.groupBy(*keys).agg((F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias(value))
 
 
+def _within(where, overlap: float):
+    return lambda k: (where >= k - overlap) & (where <= k + 1 + overlap)
+
+
 def blocks(points: DataFrame, counts: Sequence[int], mins: Sequence[float], maxs: Sequence[float], overlap: float = 0.0) -> DataFrame:
     """Deals points to the blocks of a regular decomposition whose ghosted bounds hold them: adds block_id and the blending weight w.
 
@@ -224,7 +228,7 @@ def blocks(points: DataFrame, counts: Sequence[int], mins: Sequence[float], maxs
     for c, n, a, b in zip(AXES, counts, mins, maxs, strict=False):
         size = (b - a) / n
         where = (F.col(c) - a) / size
-        near = F.filter(F.sequence(F.greatest(F.floor(where - overlap), F.lit(0)), F.least(F.floor(where + overlap), F.lit(n - 1))), lambda k, where=where: (where >= k - overlap) & (where <= k + 1 + overlap))
+        near = F.filter(F.sequence(F.greatest(F.floor(where - overlap), F.lit(0)), F.least(F.floor(where + overlap), F.lit(n - 1))), _within(where, overlap))
         out = out.withColumn("__b", F.explode(near))
         off = F.greatest(F.col("__b") - where, where - F.col("__b") - 1, F.lit(0.0))
         share = F.lit(1.0) - off / overlap if overlap else F.lit(1.0)

@@ -300,7 +300,7 @@ def spl17(spark, sf_dir):
 _NET = _AX.degree[0] / _AX.range(0)
 
 
-@query("spl08_derivative_net", f"WITH {_ENCODE}, k(i, w) AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_NET / (_AX.knots[0][i + 4] - _AX.knots[0][i + 1])!r})' for i in range(8))})) SELECT a.i, a.j, round((b.c - a.c) * k.w, 5) + 0.0 AS c FROM c a JOIN c b ON b.i = a.i + 1 AND b.j = a.j JOIN k ON k.i = a.i")
+@query("spl08_derivative_net", f"WITH {_ENCODE}, k(i, w) AS (SELECT * FROM (VALUES {', '.join(f'({i}, {float(_NET / (_AX.knots[0][i + 4] - _AX.knots[0][i + 1]))!r}e0)' for i in range(8))})) SELECT a.i, a.j, round((b.c - a.c) * k.w, 5) + 0.0 AS c FROM c a JOIN c b ON b.i = a.i + 1 AND b.j = a.j JOIN k ON k.i = a.i")
 def spl08(spark, sf_dir):
     return derivative_net(_model(spark), _AX, 0).select("i", "j", r("c", 5).alias("c"))
 

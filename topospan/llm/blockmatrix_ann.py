@@ -114,7 +114,7 @@ def nearest(df: DataFrame, query: Column, id_col: str = "vec_id", vector_col: st
     else:
         groups = -(-queries.df.count() // GROUP)
         asked = asked.withColumn("g", F.pmod(F.xxhash64("qids"), F.lit(groups)))
-        tiles = blocks.df.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long")).join(asked, ["dim", "g"])
+        tiles = blocks.df.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).join(asked, ["dim", "g"])
 
     def run(batches):
         heaps: dict[tuple[bytes, int], list] = {}

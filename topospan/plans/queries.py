@@ -18,11 +18,11 @@ from ..datasets import DATASETS, ranges, upsampling
 from ..functions import basis as B
 from ..functions import radon
 from ..functions.signals import SIGNALS, ackley_gradient_sql, line_integral_sql, sinc_derivatives_sql
-from ..functions.spline import Axes, blend, blocks, decode, derivative_net, encode, error_norms, owner_of_max_error, parameters, range_error, resample
-from ..operators import contour, graph, prune, score, spatial
-from ..operators.solve import morse_index_2d
-from ..sources import files, grids
-from ..sources import sinks as sinks
+from ..functions.spline import Axes, blend, blocks, decode, derivative_net, encode, encode_adaptive, error_norms, owner_of_max_error, parameters, range_error, resample
+from ..operators import contour, graph, prune, score, spatial, trace, track
+from ..operators.solve import boundary_roots, critical_points, degenerate_points, jacobi_critical_points, level_roots, morse_index_2d
+from ..operators.tables import written
+from ..sources import files, grids, sinks
 from .sql_text import betti_sql, crossings_sql, grid_sql, jacobi_sql, neighbours_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -367,9 +367,6 @@ def prj10(spark, sf_dir):
     return a.join(b, ["i", "j"])
 
 
-_HESSIAN = "2 * ({a} - 2 * {b} + {c})"
-
-
 @query("agg07_morse_index", "SELECT CASE WHEN abs(a * c - b * b) < 1e-13 THEN -1 WHEN a * c - b * b < 0 THEN 1 WHEN a < 0 THEN 2 ELSE 0 END AS morse_index, count(*) AS n FROM (SELECT l_tax - 0.04 AS a, l_discount - 0.05 AS b, l_quantity - 25 AS c FROM lineitem) GROUP BY 1")
 def agg07(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
@@ -462,3 +459,101 @@ def ext05(spark, sf_dir):
     g = grids.lattice(spark, (8, 6))
     p = g.select(F.col("i").alias("t"), (F.col("i") * 10 + F.col("j")).alias("id"), (F.col("j") % 2).alias("type"), F.expr(f"j + 0.1e0 * cos(i * {_H!r} / 4)").alias("x"), F.expr(f"0.1e0 * sin(i * {_H!r} / 4)").alias("y"))
     return contour.nearest_over_time(p, 0.5)
+
+
+# Solvers and tracers: no SQL; residuals and counts are tested instead.
+def _sinc_model(spark) -> tuple[DataFrame, Axes]:
+    d = DATASETS["sinc_sum"]
+    axes = Axes([4, 4], [31, 31], list(d.mins[:2]), list(d.maxs[:2]))
+    return written(encode(grids.rectilinear(spark, "sinc_sum", (151, 151)), (151, 151), axes), "model").df, axes
+
+
+@query("rt01_critical_points")
+def rt01(spark, sf_dir):
+    controls, axes = _sinc_model(spark)
+    return critical_points(controls, axes).select("id", "x", "y", "value", "morse_index", "iterations")
+
+
+def _traced_level(spark, level=0.33):
+    controls, axes = _sinc_model(spark)
+    roots = level_roots(controls, axes, prune.level_spans(controls, axes, level), "level", level)
+    return trace.trace(roots, controls, axes, "level", level), controls, axes
+
+
+@query("tr08_level_traces")
+def tr08(spark, sf_dir):
+    return _traced_level(spark)[0]
+
+
+@query("jn08_level_graph_betti")
+def jn08(spark, sf_dir):
+    points, _, axes = _traced_level(spark)
+    return graph.betti(*trace.stitch(points, None, axes.span_size()[0] / 8))
+
+
+@query("tr11_ridge_valley_graph")
+def tr11(spark, sf_dir):
+    d = DATASETS["gaussian_mixture"]
+    axes = Axes([4, 4], [25, 38], list(d.mins), list(d.maxs))
+    controls = written(encode(grids.rectilinear(spark, "gaussian_mixture", (100, 151)), (100, 151), axes), "model").df
+    roots = level_roots(controls, axes, prune.all_spans(spark, axes), "ridge")
+    vertices, edges = trace.stitch(trace.trace(roots, controls, axes, "ridge"), critical_points(controls, axes), axes.span_size()[0] / 8)
+    return graph.typed_edges(vertices, edges)
+
+
+def _pair_models(spark):
+    d = DATASETS["gaussian_pair1"]
+    axes = Axes([4, 4], [21, 21], list(d.mins), list(d.maxs))
+    return (*(written(encode(grids.rectilinear(spark, n, (101, 101)), (101, 101), axes), "model").df for n in ("gaussian_pair1", "gaussian_pair2")), axes)
+
+
+@query("rt04_jacobi_traces")
+def rt04(spark, sf_dir):
+    f, g, axes = _pair_models(spark)
+    return trace.trace(level_roots(f, axes, prune.all_spans(spark, axes), "jacobi", other=g), f, axes, "jacobi", other=g)
+
+
+@query("rt05_jacobi_critical_points")
+def rt05(spark, sf_dir):
+    f, g, axes = _pair_models(spark)
+    return jacobi_critical_points(f, g, axes, prune.all_spans(spark, axes), residual=1.0)
+
+
+def _moving_model(spark):
+    d = DATASETS["rotating_gaussian"]
+    axes = Axes([3, 3, 3], [15, 15, 11], list(d.mins), list(d.maxs))
+    return written(encode(grids.rectilinear(spark, "rotating_gaussian", (31, 31, 25)), (31, 31, 25), axes), "model").df, axes
+
+
+@query("rt06_tracking_seeds")
+def rt06(spark, sf_dir):
+    controls, axes = _moving_model(spark)
+    spans = prune.boundary(prune.critical_spans(controls, axes, 2), axes, True)
+    return boundary_roots(controls, axes, spans).select("id", "x", "y", "t")
+
+
+@query("tr13_trajectories")
+def tr13(spark, sf_dir):
+    controls, axes = _moving_model(spark)
+    spans = prune.boundary(prune.critical_spans(controls, axes, 2), axes, True)
+    return track.trajectories(boundary_roots(controls, axes, spans), controls, axes)
+
+
+@query("rt07_degenerate_points")
+def rt07(spark, sf_dir):
+    controls, axes = _moving_model(spark)
+    return degenerate_points(controls, axes, prune.critical_spans(controls, axes, 2)).select("id", "x", "y", "t")
+
+
+@query("spl02_encode_adaptive")
+def spl02(spark, sf_dir):
+    d = DATASETS["gaussian_mixture"]
+    samples = grids.rectilinear(spark, "gaussian_mixture", (61, 91))
+    _, controls = encode_adaptive(samples, (61, 91), (3, 3), d.mins, d.maxs, 0.01)
+    return controls
+
+
+@query("spl21_sinogram")
+def spl21_sinogram(spark, sf_dir):
+    lines = spark.range(400).select(F.col("id").alias("line"), ((F.col("id") % 20 - 10) * 0.3).alias("rho"), (F.floor(F.col("id") / 20) * math.pi / 20).alias("alpha"))
+    return radon.sinogram(lines, "sinc_sum", (-6.0, -6.0), (6.0, 6.0))

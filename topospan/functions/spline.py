@@ -240,3 +240,33 @@ def blocks(points: DataFrame, counts: Sequence[int], mins: Sequence[float], maxs
 def owner_of_max_error(errors: DataFrame) -> DataFrame:
     """One row: the largest error over blocks, and the block that has it."""
     return errors.agg(F.max("error").alias("max_error"), F.max_by("block_id", F.struct("error", -F.col("block_id"))).alias("block_id"))
+
+
+def sampled_jet(controls: DataFrame, axes: Axes, at: Sequence[np.ndarray], orders: dict[str, tuple[int, int]]) -> DataFrame:
+    """Several partial derivatives of a two-dimensional model on one grid of parameters, as columns named by `orders`."""
+    out = None
+    for name, order in orders.items():
+        own = decode(controls, axes, at, order, name)
+        out = own if out is None else out.join(own, ["i", "j"])
+    return out
+
+
+def sampled_steepness(controls: DataFrame, axes: Axes, at: Sequence[np.ndarray]) -> DataFrame:
+    """(i, j, value, steepness): the model and |grad f|^2."""
+    jet = sampled_jet(controls, axes, at, {"value": (0, 0), "fx": (1, 0), "fy": (0, 1)})
+    return jet.select("i", "j", "value", (F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy")).alias("steepness"))
+
+
+def sampled_ridge_function(controls: DataFrame, axes: Axes, at: Sequence[np.ndarray]) -> DataFrame:
+    """(i, j, value): h = f_x g_y - f_y g_x with g = |grad f|^2."""
+    jet = sampled_jet(controls, axes, at, {"fx": (1, 0), "fy": (0, 1), "fxx": (2, 0), "fxy": (1, 1), "fyy": (0, 2)})
+    gx = 2 * (F.col("fx") * F.col("fxx") + F.col("fy") * F.col("fxy"))
+    gy = 2 * (F.col("fx") * F.col("fxy") + F.col("fy") * F.col("fyy"))
+    return jet.select("i", "j", (F.col("fx") * gy - F.col("fy") * gx).alias("value"))
+
+
+def sampled_jacobian(f: DataFrame, g: DataFrame, axes: Axes, at: Sequence[np.ndarray]) -> DataFrame:
+    """(i, j, value): f_x g_y - f_y g_x of two models on one grid of parameters."""
+    a = sampled_jet(f, axes, at, {"fx": (1, 0), "fy": (0, 1)})
+    b = sampled_jet(g, axes, at, {"gx": (1, 0), "gy": (0, 1)})
+    return a.join(b, ["i", "j"]).select("i", "j", (F.col("fx") * F.col("gy") - F.col("fy") * F.col("gx")).alias("value"))

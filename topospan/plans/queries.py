@@ -18,7 +18,7 @@ from ..datasets import DATASETS, ranges, upsampling
 from ..functions import basis as B
 from ..functions import radon
 from ..functions.signals import SIGNALS, ackley_gradient_sql, line_integral_sql, sinc_derivatives_sql
-from ..functions.spline import Axes, blend, blocks, decode, derivative_net, encode, encode_adaptive, error_norms, owner_of_max_error, parameters, range_error, resample
+from ..functions.spline import Axes, blend, blocks, control_range, decode, derivative_net, encode, encode_adaptive, error_norms, net_coordinates, owner_of_max_error, parameters, range_error, resample, sampled_ridge_function, sampled_steepness
 from ..operators import contour, graph, prune, score, spatial, trace, track
 from ..operators.solve import boundary_roots, critical_points, degenerate_points, jacobi_critical_points, level_roots, morse_index_2d
 from ..operators.tables import written
@@ -557,3 +557,56 @@ def spl02(spark, sf_dir):
 def spl21_sinogram(spark, sf_dir):
     lines = spark.range(400).select(F.col("id").alias("line"), ((F.col("id") % 20 - 10) * 0.3).alias("rho"), (F.floor(F.col("id") / 20) * math.pi / 20).alias("alpha"))
     return radon.sinogram(lines, "sinc_sum", (-6.0, -6.0), (6.0, 6.0))
+
+
+# Sampled derivatives of a model, regularised fits and the smaller summaries.
+_AT = (11, 12)
+
+
+def _jet_sql(orders: dict[str, tuple[int, int]], controls: str = "c") -> str:
+    """CTEs of several derivatives on the grid _AT, joined as `jet`."""
+    parts, joins = [], ""
+    for k, (name, (dx, dy)) in enumerate(orders.items()):
+        wx = B.design(parameters(_AT[0]), _AX.controls[0], _AX.degree[0], dx) / _AX.range(0) ** dx
+        wy = B.design(parameters(_AT[1]), _AX.controls[1], _AX.degree[1], dy) / _AX.range(1) ** dy
+        parts.append(f"{_values(wx, f'x{k}')}, {_values(wy, f'y{k}')}, s{k} AS (SELECT CAST(a.p AS BIGINT) AS i, CAST(b.p AS BIGINT) AS j, sum(a.w * b.w * c.c) AS {name} FROM {controls} c JOIN x{k} a ON a.q = c.i JOIN y{k} b ON b.q = c.j GROUP BY 1, 2)")
+        joins += f"s{k}" if k == 0 else f" JOIN s{k} USING (i, j)"
+    return ", ".join(parts) + f", jet AS (SELECT * FROM {joins})"
+
+
+_GRID = [parameters(n) for n in _AT]
+
+
+@query("prj08_steepness", f"WITH {_ENCODE}, {_jet_sql({'value': (0, 0), 'fx': (1, 0), 'fy': (0, 1)})} SELECT i, j, round(value, 5) + 0.0 AS value, round(fx * fx + fy * fy, 4) + 0.0 AS steepness FROM jet")
+def prj08(spark, sf_dir):
+    return sampled_steepness(_model(spark), _AX, _GRID).select("i", "j", r("value", 5).alias("value"), r("steepness", 4).alias("steepness"))
+
+
+@query("prj09_ridge_function", f"WITH {_ENCODE}, {_jet_sql({'fx': (1, 0), 'fy': (0, 1), 'fxx': (2, 0), 'fxy': (1, 1), 'fyy': (0, 2)})} SELECT i, j, round(fx * 2 * (fx * fxy + fy * fyy) - fy * 2 * (fx * fxx + fy * fxy), 3) + 0.0 AS value FROM jet")
+def prj09(spark, sf_dir):
+    return sampled_ridge_function(_model(spark), _AX, _GRID).select("i", "j", r("value", 3).alias("value"))
+
+
+def _smooth(d: int) -> np.ndarray:
+    u = parameters(_N[d])
+    return np.linalg.solve(B.normal_matrix(u, _AX.controls[d], _AX.degree[d], 1e-4), B.design(u, _AX.controls[d], _AX.degree[d]).T)
+
+
+@query("spl03_regularised_encode", f"WITH {_values(_smooth(0), 'wx')}, {_values(_smooth(1), 'wy')} SELECT CAST(wx.p AS BIGINT) AS i, CAST(wy.p AS BIGINT) AS j, round(sum(wx.w * wy.w * g.value), 5) + 0.0 AS c FROM {grid_sql('gaussian_mixture', _N)} g JOIN wx ON wx.q = g.i JOIN wy ON wy.q = g.j GROUP BY 1, 2")
+def spl03(spark, sf_dir):
+    return encode(grids.rectilinear(spark, "gaussian_mixture", _N), _N, _AX, smooth=1e-4).select("i", "j", r("c", 5).alias("c"))
+
+
+@query("spl10_net_coordinates", f"SELECT CAST(a.p AS BIGINT) AS i, CAST(b.p AS BIGINT) AS j, round(a.x, 6) + 0.0 AS x, round(b.y, 6) + 0.0 AS y FROM (VALUES {', '.join(f'({k}, {float(_AX.mins[0] + g * _AX.range(0))!r}e0)' for k, g in enumerate(B.derivative_coordinates(_AX.knots[0], 3).round(12)))}) a(p, x), (VALUES {', '.join(f'({k}, {float(_AX.mins[1] + g * _AX.range(1))!r}e0)' for k, g in enumerate(B.greville(_AX.knots[1], 3).round(12)))}) b(p, y)")
+def spl10(spark, sf_dir):
+    return net_coordinates(derivative_net(_model(spark), _AX, 0), _AX, 0).select("i", "j", r("x").alias("x"), r("y").alias("y"))
+
+
+@query("spl18_control_range", f"WITH {_ENCODE} SELECT round(1 / (max(c) - min(c)), 5) AS coefficient FROM c")
+def spl18(spark, sf_dir):
+    return control_range(_model(spark)).select(F.round("coefficient", 5).alias("coefficient"))
+
+
+@query("agg06_average_norm", "SELECT round(avg(sqrt(l_discount * l_discount + l_tax * l_tax)), 6) AS average_norm FROM lineitem")
+def agg06(spark, sf_dir):
+    return score.average_norm(table(spark, sf_dir, "lineitem"), ["l_discount", "l_tax"]).select(F.round("average_norm", 6).alias("average_norm"))

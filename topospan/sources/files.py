@@ -1,4 +1,4 @@
-"""Files of the reference formats as DataFrames: raw bricks, vector volumes, matrices, OBJ, text, CSV.
+"""Files of the supported formats as DataFrames: raw bricks, vector volumes, matrices, OBJ, text, CSV.
 
 Raw binaries are read through Spark's binaryFile source, so any store that Spark reads will do; a
 raw volume too large for one row is best given as one file a slab (see `series`).

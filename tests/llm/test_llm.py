@@ -284,6 +284,18 @@ def test_personal_data_against_brute_force(spark, docs, empty):
     assert pii_infotheory.scan(empty).count() == 0
 
 
+def terms_of(found, i, text):
+    spans = [x.split(":") for x in found[i].spans.split(",") if x.startswith("term:")]
+    return {text[int(s) : int(e)].lower() for _, s, e in spans}
+
+
+def test_entities_of_one_text_have_terms(spark):
+    rng = random.Random(12)
+    one = f"{words(rng, 30)} Gwendolyn writes from gwen@mail.example.org {words(rng, 30)}"
+    df = spark.createDataFrame([(0, one)] + [(10 + k, words(rng, 50)) for k in range(60)], "doc_id long, text string")
+    assert terms_of(by_id(pii_infotheory.scan(df)), 0, one) == {"gwendolyn", "writes", "from"}
+
+
 def test_packing_is_whole_and_tightest(docs, empty):
     rng = random.Random(8)
     pieces = sorted(((rng.randrange(1, 100), rng.choice([0, 0, 1, 2, None]), rng.choice([None, *range(40)]), k) for k in range(300)), key=lambda x: -x[0])

@@ -8,11 +8,11 @@ n(c,t) where t stands within `window` characters of c and N documents in all,
     disclosure(c, t) = PMI(c; t) / IC(c) = log(n(c,t) N / (n(c) n(t))) / log(N / n(c)),
 
 which is 1 if the term gives the entity away. Terms (words of four or more letters, in lower
-case) of at least `least`, near c in at least `support` distinct texts, are disclosing; in each text that holds c they are
+case) of at least `least` are disclosing, however few texts hold c (the disclosure alone decides); in each text that holds c they are
 removed or generalised too, wherever they stand, as spans of the kind `term`.
 
-Everything is a DataFrame expression and all statistics cover all documents; for the support,
-copies count once, by a 128-bit hash of the text. Counts are summed before each shuffle. The list
+Everything is a DataFrame expression and all statistics cover all documents; equal texts are scanned
+as one, by a 128-bit hash of the text, and counted as many. Counts are summed before each shuffle. The list
 of texts with disclosing terms is broadcast only if its written size is under `small_bytes`, and
 joined by a shuffle otherwise.
 
@@ -35,7 +35,6 @@ CARD = r"[0-9](?:[\x20-]?[0-9])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 WINDOW = 80
-SUPPORT = 3
 LEAST = 0.9
 SMALL_BYTES = 8 << 20
 
@@ -96,13 +95,13 @@ def _cheap(table: Table, small_bytes: int) -> DataFrame:
     return F.broadcast(table.df) if table.size() <= small_bytes else table.df
 
 
-def disclosing(entities: DataFrame, texts: DataFrame, support: int = SUPPORT, least: float = LEAST) -> DataFrame:
+def disclosing(entities: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
     """(entity, term, disclosure) of the disclosing terms.
 
     entities: key, copies, entity, context; texts: text, over the corpus.
     """
     near = entities.select("key", "copies", "entity", F.explode(_words(F.col("context"))).alias("term")).where(~F.contains("entity", "term")).distinct()
-    pairs = written(near.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("nct")).where(F.col("texts") >= support), "pii-pairs")
+    pairs = written(near.groupBy("entity", "term").agg(F.sum("copies").alias("nct")), "pii-pairs")
     nt = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
     nc = entities.select("key", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("nc"))
     n = F.lit(float(max(texts.count(), 2)))
@@ -110,7 +109,7 @@ def disclosing(entities: DataFrame, texts: DataFrame, support: int = SUPPORT, le
     return pairs.df.join(nc, "entity").join(nt, "term").select("entity", "term", score.alias("disclosure")).where(F.col("disclosure") >= least)
 
 
-def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, least: float = LEAST, small_bytes: int = SMALL_BYTES) -> tuple[DataFrame, DataFrame]:
+def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least: float = LEAST, small_bytes: int = SMALL_BYTES) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, base) of every row, and (key, terms) of the texts with disclosing terms.
 
     The first is written once; the second's spans keep clear of base ones.
@@ -120,7 +119,7 @@ def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     base = written(with_base(slim).select("doc_id", _key(F.col("text")).alias("key"), F.col("__base").alias("base"), F.when(F.size("__base") > 0, around).alias("around")), "pii-base").df
     one = base.where(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("copies"), F.first("around").alias("around"), F.first("base").alias("base"))
     entities = written(one.select("key", "copies", F.explode("around").alias("x")).select("key", "copies", "x.entity", "x.context"), "pii-entities").df
-    terms = disclosing(entities, slim.select("text"), support, least)
+    terms = disclosing(entities, slim.select("text"), least)
     listed = entities.select("key", "entity").distinct().join(terms, "entity").groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     wanted = written(listed.join(one.select("key", "base"), "key"), "pii-wanted")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))

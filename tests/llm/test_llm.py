@@ -296,6 +296,14 @@ def test_entities_of_one_text_have_terms(spark):
     assert terms_of(by_id(pii_infotheory.scan(df)), 0, one) == {"gwendolyn", "writes", "from"}
 
 
+def test_terms_far_from_their_entity_count(spark):
+    rng = random.Random(13)
+    rows = [(k, f"Gwendolyn {words(rng, 200 if k else 1)} gwen@mail.example.org {words(rng, 30)}") for k in range(4)]
+    df = spark.createDataFrame(rows + [(10 + k, words(rng, 50)) for k in range(60)], "doc_id long, text string")
+    found = by_id(pii_infotheory.scan(df))
+    assert all(terms_of(found, k, t) == {"gwendolyn"} for k, t in rows)
+
+
 def test_packing_is_whole_and_tightest(docs, empty):
     rng = random.Random(8)
     pieces = sorted(((rng.randrange(1, 100), rng.choice([0, 0, 1, 2, None]), rng.choice([None, *range(40)]), k) for k in range(300)), key=lambda x: -x[0])

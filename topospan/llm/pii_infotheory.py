@@ -3,7 +3,7 @@
 The protected entities are the values that the fixed patterns find (an address, a number, as
 written but for case). Corpus co-occurrence estimates how strongly a term reveals an entity
 (Sanchez, Batet and Viejo, 2013): with n(c) documents that hold entity c, n(t) that hold term t,
-n(c,t) where t stands within `window` characters of c and N documents in all,
+n(c,t) that hold both, wherever they stand, and N documents in all,
 
     disclosure(c, t) = PMI(c; t) / IC(c) = log(n(c,t) N / (n(c) n(t))) / log(N / n(c)),
 
@@ -22,6 +22,8 @@ equal spans; texts without an entity never get term spans; offsets are code poin
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,6 @@ IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 CARD = r"[0-9](?:[\x20-]?[0-9])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
-WINDOW = 80
 LEAST = 0.9
 SMALL_BYTES = 8 << 20
 
@@ -95,36 +96,40 @@ def _cheap(table: Table, small_bytes: int) -> DataFrame:
     return F.broadcast(table.df) if table.size() <= small_bytes else table.df
 
 
-def disclosing(entities: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """(entity, term, disclosure) of the disclosing terms.
+def disclosing(held: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """(key, terms): of each text that holds an entity, the terms that disclose one of its entities.
 
-    entities: key, copies, entity, context; texts: text, over the corpus.
+    held: key, copies, entities, terms (of the whole text); texts: text, over the corpus.
     """
-    near = entities.select("key", "copies", "entity", F.explode(_words(F.col("context"))).alias("term")).where(~F.contains("entity", "term")).distinct()
-    pairs = written(near.groupBy("entity", "term").agg(F.sum("copies").alias("nct")), "pii-pairs")
     nt = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
-    nc = entities.select("key", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("nc"))
-    n = F.lit(float(max(texts.count(), 2)))
-    score = F.log(F.col("nct") * n / (F.col("nc") * F.col("nt"))) / F.greatest(F.log(n / F.col("nc")), F.lit(1e-9))
-    return pairs.df.join(nc, "entity").join(nt, "term").select("entity", "term", score.alias("disclosure")).where(F.col("disclosure") >= least)
-
-
-def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least: float = LEAST, small_bytes: int = SMALL_BYTES) -> tuple[DataFrame, DataFrame]:
+    owned = held.select("key", "copies", F.explode("entities").alias("entity"))
+    nc = written(owned.groupBy("entity").agg(F.sum("copies").alias("nc")), "pii-entities").df
+    n = float(max(texts.count(), 2))
+    # As n(c,t) <= n(c), no term of more than n^(1 - least) n(c)^least documents can disclose c.
+    most = lambda c: (1 - least) * math.log(n) + least * F.log(c) + 1e-9
+    rare = nt.crossJoin(F.broadcast(nc.agg(F.max("nc").alias("most")))).where(F.log("nt") <= most(F.col("most"))).drop("most")  # a row of one number
+    terms = held.select("key", F.explode("terms").alias("term")).join(rare, "term")
+    pairs = written(terms.join(owned.join(nc, "entity"), "key").where(F.log("nt") <= most(F.col("nc"))).where(~F.contains("entity", "term")), "pii-pairs").df
+    score = F.log(F.sum("copies") * n / (F.col("nc") * F.col("nt"))) / F.greatest(F.log(n / F.col("nc")), F.lit(1e-9))
+    scored = pairs.groupBy("entity", "term", "nc", "nt").agg(score.alias("disclosure")).where(F.col("disclosure") >= least)
+    return pairs.join(scored.select("entity", "term"), ["entity", "term"]).groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+
+
+def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, small_bytes: int = SMALL_BYTES) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, base) of every row, and (key, terms) of the texts with disclosing terms.
 
     The first is written once; the second's spans keep clear of base ones.
     """
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    around = F.transform("__base", lambda x: F.struct(F.lower(F.substring(F.col("text"), x["s"] + 1, x["e"] - x["s"])).alias("entity"), F.concat_ws(" ", F.substring(F.col("text"), F.greatest(x["s"] - window, F.lit(0)) + 1, F.least(x["s"], F.lit(window))), F.substring(F.col("text"), x["e"] + 1, F.lit(window))).alias("context")))
-    base = written(with_base(slim).select("doc_id", _key(F.col("text")).alias("key"), F.col("__base").alias("base"), F.when(F.size("__base") > 0, around).alias("around")), "pii-base").df
-    one = base.where(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("copies"), F.first("around").alias("around"), F.first("base").alias("base"))
-    entities = written(one.select("key", "copies", F.explode("around").alias("x")).select("key", "copies", "x.entity", "x.context"), "pii-entities").df
-    terms = disclosing(entities, slim.select("text"), least)
-    listed = entities.select("key", "entity").distinct().join(terms, "entity").groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    wanted = written(listed.join(one.select("key", "base"), "key"), "pii-wanted")
+    some = F.size("__base") > 0
+    entities = F.array_distinct(F.transform("__base", lambda x: F.lower(F.substring(F.col("text"), x["s"] + 1, x["e"] - x["s"]))))
+    base = written(with_base(slim).select("doc_id", _key(F.col("text")).alias("key"), F.col("__base").alias("base"), F.when(some, entities).alias("entities"), F.when(some, _words(F.col("text"))).alias("terms")), "pii-base").df
+    one = base.where(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("base", "entities", "terms")))
+    held = written(one, "pii-held").df
+    wanted = written(disclosing(held, slim.select("text"), least).join(held.select("key", "base"), "key"), "pii-wanted")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    held = slim.withColumn("key", _key(F.col("text"))).join(_cheap(wanted, small_bytes), "key").withColumn("pattern", pattern).withColumn("found", S.matches(F.col("text"), F.col("pattern")))
-    spans = held.select("key", S.clear_of(S.located(F.col("text"), F.col("pattern"), F.col("found"), 4, "term"), F.col("base")).alias("terms"))
+    found = slim.withColumn("key", _key(F.col("text"))).join(_cheap(wanted, small_bytes), "key").withColumn("pattern", pattern).withColumn("found", S.matches(F.col("text"), F.col("pattern")))
+    spans = found.select("key", S.clear_of(S.located(F.col("text"), F.col("pattern"), F.col("found"), 4, "term"), F.col("base")).alias("terms"))
     return base.select("doc_id", "key", "base"), spans.groupBy("key").agg(F.first("terms").alias("terms"))
 
 

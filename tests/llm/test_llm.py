@@ -304,6 +304,19 @@ def test_terms_far_from_their_entity_count(spark):
     assert all(terms_of(found, k, t) == {"gwendolyn"} for k, t in rows)
 
 
+def test_short_words_numbers_and_parts_of_the_entity_are_terms(spark):
+    rng = random.Random(14)
+    rows = [(k, f"{words(rng, 30)} Ann Smith 4711 李明 {words(rng, 9)} ann.smith@mail.example.org 10.20.30.4 {words(rng, 30)}") for k in range(4)]
+    rows.append((9, f"{words(rng, 20)} zoe.quist@mail.example.org {words(rng, 20)}"))
+    other = [(10 + k, f"{words(rng, 50)} {'example 30' if k < 20 else ''}") for k in range(60)]
+    df = spark.createDataFrame(rows + other, "doc_id long, text string")
+    found = by_id(pii_infotheory.scan(df))
+    for k, t in rows[:4]:
+        assert terms_of(found, k, t) == {"ann", "smith", "4711", "李明"}
+        assert f"term:{t.index('Ann')}:{t.index('Ann') + 3}" in found[k].spans.split(",")
+    assert terms_of(found, 9, rows[4][1]) == set()
+
+
 def test_packing_is_whole_and_tightest(docs, empty):
     rng = random.Random(8)
     pieces = sorted(((rng.randrange(1, 100), rng.choice([0, 0, 1, 2, None]), rng.choice([None, *range(40)]), k) for k in range(300)), key=lambda x: -x[0])

@@ -7,9 +7,10 @@ n(c,t) that hold both, wherever they stand, and N documents in all,
 
     disclosure(c, t) = PMI(c; t) / IC(c) = log(n(c,t) N / (n(c) n(t))) / log(N / n(c)),
 
-which is 1 if the term gives the entity away. Terms (words of four or more letters, in lower
-case) of at least `least` are disclosing, however few texts hold c (the disclosure alone decides); in each text that holds c they are
-removed or generalised too, wherever they stand, as spans of the kind `term`.
+which is 1 if the term gives the entity away. Terms (runs of letters and digits of any length, in
+lower case, outside the protected values' spans) of at least `least` are disclosing, however few
+texts hold c; in each text that holds c they are removed or generalised too, wherever they stand,
+as spans of the kind `term`.
 
 Everything is a DataFrame expression and all statistics cover all documents; equal texts are scanned
 as one, by a 128-bit hash of the text, and counted as many. Counts are summed before each shuffle. The list
@@ -37,6 +38,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 LEAST = 0.9
+#: A term: a run of letters, their marks and digits, of any length.
+TOKEN = r"[\p{L}\p{M}\p{N}]+"
 SMALL_BYTES = 8 << 20
 
 
@@ -87,8 +90,20 @@ def _key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
 
 
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with every character inside the ordered spans blanked; offsets stay."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(acc, x):
+        gap = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+
+    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+
+
 def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{4,}"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
 
 
 def _cheap(table: Table, small_bytes: int) -> DataFrame:
@@ -99,9 +114,14 @@ def _cheap(table: Table, small_bytes: int) -> DataFrame:
 def disclosing(held: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
     """(key, terms): of each text that holds an entity, the terms that disclose one of its entities.
 
-    held: key, copies, entities, terms (of the whole text); texts: text, over the corpus.
+    held: key, copies, entities, terms (outside the protected spans), inside (words of the whole text
+    that aren't among them), edge (those that are no whole word of the text); texts: text, over the
+    corpus. n(t) counts terms outside the spans too.
     """
-    nt = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
+    all_ = texts.select(F.explode(_words(F.col("text"))).alias("term"), F.lit(1).cast("long").alias("k"))
+    inside = held.select(F.explode("inside").alias("term"), (-F.col("copies")).alias("k"))
+    edge = held.select(F.explode("edge").alias("term"), F.col("copies").alias("k"))
+    nt = all_.union(inside).union(edge).groupBy("term").agg(F.sum("k").alias("nt")).where("nt > 0")
     owned = held.select("key", "copies", F.explode("entities").alias("entity"))
     nc = written(owned.groupBy("entity").agg(F.sum("copies").alias("nc")), "pii-entities").df
     n = float(max(texts.count(), 2))
@@ -109,7 +129,7 @@ def disclosing(held: DataFrame, texts: DataFrame, least: float = LEAST) -> DataF
     most = lambda c: (1 - least) * math.log(n) + least * F.log(c) + 1e-9
     rare = nt.crossJoin(F.broadcast(nc.agg(F.max("nc").alias("most")))).where(F.log("nt") <= most(F.col("most"))).drop("most")  # a row of one number
     terms = held.select("key", F.explode("terms").alias("term")).join(rare, "term")
-    pairs = written(terms.join(owned.join(nc, "entity"), "key").where(F.log("nt") <= most(F.col("nc"))).where(~F.contains("entity", "term")), "pii-pairs").df
+    pairs = written(terms.join(owned.join(nc, "entity"), "key").where(F.log("nt") <= most(F.col("nc"))), "pii-pairs").df
     score = F.log(F.sum("copies") * n / (F.col("nc") * F.col("nt"))) / F.greatest(F.log(n / F.col("nc")), F.lit(1e-9))
     scored = pairs.groupBy("entity", "term", "nc", "nt").agg(score.alias("disclosure")).where(F.col("disclosure") >= least)
     return pairs.join(scored.select("entity", "term"), ["entity", "term"]).groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
@@ -123,13 +143,13 @@ def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     some = F.size("__base") > 0
     entities = F.array_distinct(F.transform("__base", lambda x: F.lower(F.substring(F.col("text"), x["s"] + 1, x["e"] - x["s"]))))
-    base = written(with_base(slim).select("doc_id", _key(F.col("text")).alias("key"), F.col("__base").alias("base"), F.when(some, entities).alias("entities"), F.when(some, _words(F.col("text"))).alias("terms")), "pii-base").df
-    one = base.where(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("base", "entities", "terms")))
+    outside = _outside(F.col("text"), F.col("__base"))
+    base = written(with_base(slim).select("doc_id", _key(F.col("text")).alias("key"), F.col("__base").alias("base"), F.when(some, entities).alias("entities"), F.when(some, _words(outside)).alias("terms"), F.when(some, F.array_except(_words(F.col("text")), _words(outside))).alias("inside"), F.when(some, F.array_except(_words(outside), _words(F.col("text")))).alias("edge")), "pii-base").df
+    one = base.where(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("base", "entities", "terms", "inside", "edge")))
     held = written(one, "pii-held").df
     wanted = written(disclosing(held, slim.select("text"), least).join(held.select("key", "base"), "key"), "pii-wanted")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    found = slim.withColumn("key", _key(F.col("text"))).join(_cheap(wanted, small_bytes), "key").withColumn("pattern", pattern).withColumn("found", S.matches(F.col("text"), F.col("pattern")))
-    spans = found.select("key", S.clear_of(S.located(F.col("text"), F.col("pattern"), F.col("found"), 4, "term"), F.col("base")).alias("terms"))
+    found = slim.withColumn("key", _key(F.col("text"))).join(_cheap(wanted, small_bytes), "key").withColumn("text", _outside(F.col("text"), F.col("base"))).withColumn("found", S.matches(F.col("text"), TOKEN))
+    spans = found.select("key", S.located(F.col("text"), TOKEN, F.col("found"), 4, "term", lambda m: F.array_contains("terms", F.lower(m))).alias("terms"))
     return base.select("doc_id", "key", "base"), spans.groupBy("key").agg(F.first("terms").alias("terms"))
 
 

@@ -342,6 +342,20 @@ def test_packing_is_whole_and_tightest(docs, empty):
     assert bestfit_pack.pack(empty).count() == 0
 
 
+def test_near_copies_of_different_sources_share_no_bin(spark, tmp_path):
+    from topospan.llm.queries import op10_bestfit_packing
+
+    rng = random.Random(15)
+    base = [words(rng, 120) for _ in range(3)]
+    rows = [(k, base[k % 3] if k < 6 else base[k % 3].upper() if k < 9 else base[k % 3] + f" w{k}", f"src{k}") for k in range(30)]
+    rows += [(None, base[0], "src90"), (40, "", "src91"), (41, "", "src92")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op10_bestfit_packing(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == sorted((i is None, i or 0) for i, _, _ in rows)
+    own = collections.Counter((r.shard, r.bin, 0 if r.doc_id is None else r.doc_id % 3) for r in out if r.doc_id is None or r.doc_id < 40)
+    assert set(own.values()) == {1}
+
+
 def test_pipeline_keeps_clean_documents_and_applies_decisions(spark, docs):
     import corpus_pipeline
 

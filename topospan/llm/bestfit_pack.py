@@ -26,8 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+from .lsh_forest import similar
+
 CAPACITY = 2048
 SHARD_TOKENS = 8_000_000
+SMALL_BYTES = 8 << 20
 
 
 def best_fit(pieces: list[tuple[int, int | None, int | None, int]], capacity: int) -> list[int]:
@@ -78,7 +82,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", tokens: Column | None = None, so
     """
     tokens = n_tokens(text_col) if tokens is None else tokens
     cluster = F.when(tokens > 0, F.xxhash64(F.col(text_col))) if cluster is None else cluster
-    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"), F.coalesce(tokens, F.lit(0)).cast("long").alias("n"))
+    slim = written(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"), F.coalesce(tokens, F.lit(0)).cast("long").alias("n")), "pack-slim").df
     total = slim.agg(F.sum(F.greatest("n", F.lit(1)))).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
 
@@ -99,3 +103,18 @@ def pack(df: DataFrame, id_col: str = "doc_id", tokens: Column | None = None, so
 
     dealt = slim.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(17)), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInPandas(run, RESULT)
+
+
+def pack_near(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """pack() with the near-duplicate classes of lsh_forest.similar as clusters.
+
+    Classes of several texts are joined by the text's hash, so that rows without an id meet their
+    copies' class; every other text is its own cluster.
+    """
+    mark = F.xxhash64(F.col(text_col))
+    classes = similar(df, id_col, text_col).where("n_links > 0").select("doc_id", "class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("__mark"))
+    near = written(slim.join(classes, "doc_id").groupBy("__mark").agg(F.min("class_id").alias("__class")), "pack-near")
+    joined = df.withColumn("__mark", mark).join(F.broadcast(near.df) if near.size() <= small_bytes else near.df, "__mark", "left")
+    tokens = n_tokens(text_col)
+    return pack(joined, id_col, tokens, source_col, F.when(tokens > 0, F.coalesce("__class", "__mark")), text_col, capacity, shard_tokens)

@@ -69,9 +69,9 @@ def op9_pii_infotheory(spark, sf_dir):
 
 
 def op10_bestfit_packing(spark, sf_dir):
-    from .bestfit_pack import pack
+    from .bestfit_pack import pack_near
 
-    return pack(table(spark, sf_dir, "documents"))
+    return pack_near(table(spark, sf_dir, "documents"))
 
 
 def queries():

@@ -97,3 +97,44 @@ def test_range_texts():
     assert upsampling("4", 3) == [4, 4, 4]
     with pytest.raises(ValueError, match="structured"):
         grids.analytic(None, "sinc", (3, 3), structured=True, random=True)
+
+
+def test_whole_table_queries_against_brute_force(spark, tmp_path):
+    from topospan.plans.queries import QUERIES
+
+    rng = np.random.default_rng(5)
+    orders = [(k, int(c)) for k, c in enumerate(rng.integers(1, 25, 60))]
+    lines = [(int(o), int(s), float(q), int(d) / 100, int(t) / 100) for o, s, q, d, t in zip(rng.integers(0, 60, 150), rng.integers(1, 20, 150), rng.integers(1, 51, 150), rng.integers(0, 11, 150), rng.integers(0, 9, 150), strict=True)]
+    points = [(k, [float(x), float(y)], 0) for k, (x, y) in enumerate(rng.random((120, 2)) * 0.12)]
+    for name, rows, schema in (("orders", orders, "o_orderkey long, o_custkey long"), ("lineitem", lines, "l_orderkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double"), ("embeddings", points, "vec_id long, embedding array<float>, label int")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+
+    def roots(nodes, near):
+        up = {v: v for v in nodes}
+        while True:
+            new = {v: min([up[v], *(up[w] for w in near[v])]) for v in nodes}
+            if new == up:
+                return up
+            up = new
+
+    owner = dict(orders)
+    edges = {(owner[o], s + 10000000) for o, s, *_ in lines}
+    vertices = {v for e in edges for v in e}
+    near = {v: {w for e in edges if v in e for w in e} for v in vertices}
+    betti = QUERIES["agg10_betti_orders_whole"](spark, str(tmp_path)).first()
+    assert (betti.vertices, betti.edges) == (len(vertices), len(edges))
+    assert betti.deg3 == sum(len(n) - 1 >= 3 for n in near.values())
+    assert betti.components == len(set(roots(vertices, near).values()))
+    number = {v: k for k, v in enumerate(sorted(v for v in vertices if v % 3))}
+    assert sorted(run("flt14_subgraph_whole")) == sorted((number[a], number[b]) for a, b in edges if a in number and b in number)
+    xy = {k: np.array(e, np.float32).astype(float) for k, e, _ in points}
+    near = {k: {m for m in xy if ((xy[k] - xy[m]) ** 2).sum() <= 0.0001} for k in xy}
+    leader = roots(xy, near)
+    assert dict(run("ded02_eps_clusters_whole")) == leader
+    first = {}
+    for k in sorted(xy, key=lambda k: (*xy[k], k)):
+        first.setdefault(leader[k], k)
+    assert sorted(k for (k,) in run("ded01_eps_distinct_whole")) == sorted(first.values())
+    spans = {(int(q), round(d * 100)) for _, _, q, d, _ in lines}
+    assert sorted(run("jn01_neighbour_spans_whole")) == sorted((*a, *b) for a in spans for b in spans if max(abs(a[0] - b[0]), abs(a[1] - b[1])) <= 1)

@@ -187,6 +187,27 @@ def agg10(spark, sf_dir):
     return graph.betti(v, e).select("vertices", "edges", "deg3")
 
 
+# The same over whole tables. The SQL of agg10_betti_orders, flt14_subgraph, ded01, ded02 and jn01 fixes id subsets; these have none.
+def all_order_edges(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    return o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 10000000).alias("dst")).distinct()
+
+
+@query("agg10_betti_orders_whole")
+def agg10_whole(spark, sf_dir):
+    e = written(all_order_edges(spark, sf_dir), "edges").df
+    v = e.select(F.col("src").alias("vid")).union(e.select("dst")).distinct()
+    return graph.betti(v, e)
+
+
+@query("flt14_subgraph_whole")
+def flt14_whole(spark, sf_dir):
+    e = written(all_order_edges(spark, sf_dir), "edges").df
+    v = e.select(F.col("src").alias("vid")).union(e.select("dst")).distinct()
+    return graph.induced(v, e, F.col("vid") % 3 != 0)[1]
+
+
 @query("agg10_components_regions", "SELECT n_nationkey + CAST(0 AS BIGINT) AS node, first_value(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + CAST(0 AS BIGINT) AS root FROM nation")
 def agg10_regions(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_regionkey")
@@ -248,6 +269,27 @@ def jn01(spark, sf_dir):
     return spatial.neighbour_spans(l).select("si", "sj", "ni", "nj")
 
 
+def all_points(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+
+
+@query("ded01_eps_distinct_whole")
+def ded01_whole(spark, sf_dir):
+    return spatial.eps_distinct(all_points(spark, sf_dir), 0.01).select("id")
+
+
+@query("ded02_eps_clusters_whole")
+def ded02_whole(spark, sf_dir):
+    return spatial.eps_clusters(all_points(spark, sf_dir), 0.01)
+
+
+@query("jn01_neighbour_spans_whole")
+def jn01_whole(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("si"), F.round(F.col("l_discount") * 100).cast("long").alias("sj"))
+    return spatial.neighbour_spans(l).select("si", "sj", "ni", "nj")
+
+
 # Splines. Small tables of weights come from the same basis functions, as literals.
 _AX = Axes([3, 3], [9, 8], list(DATASETS["gaussian_mixture"].mins), list(DATASETS["gaussian_mixture"].maxs))
 _N = (21, 25)

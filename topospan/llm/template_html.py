@@ -5,8 +5,8 @@ open elements above it (with their id and class names). Over the pages of one ho
 the same occurrence vector (how often they stand on each page) form an equivalence class; vectors
 are compared by an order-free sum of hashes of (page, count), so a host's pages never meet in one
 task. Classes of at least `size` tokens and a support of at least `share` of the host's pages are
-valid; ordered by how often they occur, they nest: a class's slots hold the classes whose paths lie
-below it. Their union is the host's template; what lies between template tokens are its slots.
+valid. Their union, a flat set, is the host's template: classes are not ordered or nested as in the
+paper; what lies between template tokens are its slots.
 
 Which slots are main text: words whose own text node is all template words are constant text and
 go, unless they stand in the article; slots under navigation, headers, footers, sidebars, notices,

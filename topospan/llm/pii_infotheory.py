@@ -13,12 +13,12 @@ texts hold c; in each text that holds c they are removed or generalised too, whe
 as spans of the kind `term`.
 
 Everything is a DataFrame expression and all statistics cover all documents; equal texts are scanned
-as one, by a 128-bit hash of the text, and counted as many. Counts are summed before each shuffle. The list
-of texts with disclosing terms is broadcast only if its written size is under `small_bytes`, and
-joined by a shuffle otherwise.
+as one, by a 128-bit hash of the text, and counted as many. Entities that stand in the same texts
+have the same disclosures and are scored as one, so a list of numbers isn't paired with every word
+beside it. Counts are summed before each shuffle.
 
-Defined results: null and empty texts have no spans; whole texts are scanned; equal texts have
-equal spans; texts without an entity never get term spans; offsets are code points.
+Defined results: null and empty texts have no spans; whole texts are scanned, a megabyte of digits
+or of address parts included; equal texts have equal spans; columns of any name pass; texts without an entity never get term spans; offsets are code points.
 """
 
 from __future__ import annotations
@@ -29,18 +29,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import Table, written
+from .common import written
 
-#: Fixed patterns. The look-behind starts an address only where the pattern's leftmost match can start.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
-CARD = r"[0-9](?:[\x20-]?[0-9])+"
+#: Fixed patterns. Look-behinds start a match only where the leftmost one can start; possessive
+#: repeats of a group are loops, not recursions, and stop where the greedy ones do.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 LEAST = 0.9
 #: A term: a run of letters, their marks and digits, of any length.
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
-SMALL_BYTES = 8 << 20
 
 
 def _digits(m: Column) -> Column:
@@ -76,13 +76,12 @@ def _phone_ok(m: Column) -> Column:
 _KINDS = (("email", EMAIL, None), ("ip", IP, _ip_ok), ("card", CARD, _card_ok), ("phone", PHONE, _phone_ok))
 
 
-def with_base(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds __base: the ordered spans of the fixed patterns."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = df.withColumns({f"__{k}": S.matches(text, p) for k, p, _ in _KINDS})
-    each = [S.located(text, p, F.col(f"__{k}"), o, k, ok) for o, (k, p, ok) in enumerate(_KINDS)]
-    some = sum(F.size(f"__{k}") for k in BASE) > 0
-    return found.withColumn("__base", F.when(some, S.in_order(F.concat(*each))).otherwise(S.no_spans())).drop(*(f"__{k}" for k in BASE))
+def with_base(df: DataFrame) -> DataFrame:
+    """Adds `base`, the ordered spans of the fixed patterns, to (doc_id, text)."""
+    found = df.withColumns({k: S.matches(F.col("text"), p) for k, p, _ in _KINDS})
+    each = [S.located(F.col("text"), p, F.col(k), o, k, ok) for o, (k, p, ok) in enumerate(_KINDS)]
+    some = sum(F.size(k) for k in BASE) > 0
+    return found.withColumn("base", F.when(some, S.in_order(F.concat(*each))).otherwise(S.no_spans())).drop(*BASE)
 
 
 def _key(text: Column) -> Column:
@@ -90,29 +89,12 @@ def _key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
 
 
-def _outside(text: Column, spans: Column) -> Column:
-    """The text with every character inside the ordered spans blanked; offsets stay."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc, x):
-        gap = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], acc["at"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
-
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
-
-
 def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
 
 
-def _cheap(table: Table, small_bytes: int) -> DataFrame:
-    """The table, to be broadcast if its files are small."""
-    return F.broadcast(table.df) if table.size() <= small_bytes else table.df
-
-
 def disclosing(held: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """(key, terms): of each text that holds an entity, the terms that disclose one of its entities.
+    """(key, term), distinct: of each text that holds an entity, the terms that disclose one of its entities.
 
     held: key, copies, entities, terms (outside the protected spans), inside (words of the whole text
     that aren't among them), edge (those that are no whole word of the text); texts: text, over the
@@ -123,34 +105,43 @@ def disclosing(held: DataFrame, texts: DataFrame, least: float = LEAST) -> DataF
     edge = held.select(F.explode("edge").alias("term"), F.col("copies").alias("k"))
     nt = all_.union(inside).union(edge).groupBy("term").agg(F.sum("k").alias("nt")).where("nt > 0")
     owned = held.select("key", "copies", F.explode("entities").alias("entity"))
-    nc = written(owned.groupBy("entity").agg(F.sum("copies").alias("nc")), "pii-entities").df
+    # Entities of the same texts have the same disclosures: one of them stands for all in each text.
+    same = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("a"), F.bit_xor(F.xxhash64(F.lit(5), "key")).alias("b"))
+    groups = owned.groupBy("entity").agg(F.sum("copies").alias("nc"), same.alias("group"))
+    nc = written(owned.join(groups, "entity").select("key", "copies", "group", "nc").distinct(), "pii-entities")
     n = float(max(texts.count(), 2))
     # As n(c,t) <= n(c), no term of more than n^(1 - least) n(c)^least documents can disclose c.
     most = lambda c: (1 - least) * math.log(n) + least * F.log(c) + 1e-9
-    rare = nt.crossJoin(F.broadcast(nc.agg(F.max("nc").alias("most")))).where(F.log("nt") <= most(F.col("most"))).drop("most")  # a row of one number
+    rare = nt.crossJoin(F.broadcast(nc.df.agg(F.max("nc").alias("most")))).where(F.log("nt") <= most(F.col("most"))).drop("most")  # a row of one number
     terms = held.select("key", F.explode("terms").alias("term")).join(rare, "term")
-    pairs = written(terms.join(owned.join(nc, "entity"), "key").where(F.log("nt") <= most(F.col("nc"))), "pii-pairs").df
+    pairs = written(terms.join(nc.df, "key").where(F.log("nt") <= most(F.col("nc"))), "pii-pairs")
     score = F.log(F.sum("copies") * n / (F.col("nc") * F.col("nt"))) / F.greatest(F.log(n / F.col("nc")), F.lit(1e-9))
-    scored = pairs.groupBy("entity", "term", "nc", "nt").agg(score.alias("disclosure")).where(F.col("disclosure") >= least)
-    return pairs.join(scored.select("entity", "term"), ["entity", "term"]).groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    scored = pairs.df.groupBy("group", "term", "nc", "nt").agg(score.alias("disclosure")).where(F.col("disclosure") >= least)
+    out = written(pairs.df.join(scored.select("group", "term"), ["group", "term"]).select("key", "term").distinct(), "pii-terms")
+    nc.drop()
+    pairs.drop()
+    return out.df
 
 
-def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, small_bytes: int = SMALL_BYTES) -> tuple[DataFrame, DataFrame]:
+def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, base) of every row, and (key, terms) of the texts with disclosing terms.
 
-    The first is written once; the second's spans keep clear of base ones.
+    The first is written once; the second's spans keep clear of base ones. A text's words meet its
+    disclosing terms in a join by (text, word), however many it has of either.
     """
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    some = F.size("__base") > 0
-    entities = F.array_distinct(F.transform("__base", lambda x: F.lower(F.substring(F.col("text"), x["s"] + 1, x["e"] - x["s"]))))
-    outside = _outside(F.col("text"), F.col("__base"))
-    base = written(with_base(slim).select("doc_id", _key(F.col("text")).alias("key"), F.col("__base").alias("base"), F.when(some, entities).alias("entities"), F.when(some, _words(outside)).alias("terms"), F.when(some, F.array_except(_words(F.col("text")), _words(outside))).alias("inside"), F.when(some, F.array_except(_words(outside), _words(F.col("text")))).alias("edge")), "pii-base").df
+    some = F.size("base") > 0
+    entities = F.array_distinct(F.transform(S.cut(F.col("text"), F.col("base")), F.lower))
+    marked = with_base(slim).select("doc_id", "text", _key(F.col("text")).alias("key"), "base", F.when(some, S.blanked(F.col("text"), F.col("base"))).alias("clear"))
+    worded = marked.withColumn("terms", F.when(some, _words(F.col("clear")))).withColumn("all", F.when(some, _words(F.col("text"))))
+    base = written(worded.select("doc_id", "key", "base", F.when(some, entities).alias("entities"), "terms", F.when(some, F.array_except("all", "terms")).alias("inside"), F.when(some, F.array_except("terms", "all")).alias("edge")), "pii-base").df
     one = base.where(F.size("base") > 0).groupBy("key").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("base", "entities", "terms", "inside", "edge")))
     held = written(one, "pii-held").df
-    wanted = written(disclosing(held, slim.select("text"), least).join(held.select("key", "base"), "key"), "pii-wanted")
-    found = slim.withColumn("key", _key(F.col("text"))).join(_cheap(wanted, small_bytes), "key").withColumn("text", _outside(F.col("text"), F.col("base"))).withColumn("found", S.matches(F.col("text"), TOKEN))
-    spans = found.select("key", S.located(F.col("text"), TOKEN, F.col("found"), 4, "term", lambda m: F.array_contains("terms", F.lower(m))).alias("terms"))
-    return base.select("doc_id", "key", "base"), spans.groupBy("key").agg(F.first("terms").alias("terms"))
+    wanted = disclosing(held, slim.select("text"), least)
+    texts = slim.withColumn("key", _key(F.col("text"))).join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).join(held.select("key", "base"), "key")
+    found = texts.select("key", S.blanked(F.col("text"), F.col("base")).alias("text")).withColumn("found", S.matches(F.col("text"), TOKEN))
+    spans = found.select("key", F.explode(F.arrays_zip(F.transform("found", F.lower).alias("term"), S.located(F.col("text"), TOKEN, F.col("found"), 4, "term").alias("span"))).alias("x")).select("key", "x.term", "x.span")
+    return base.select("doc_id", "key", "base"), spans.join(wanted, ["key", "term"]).groupBy("key").agg(F.sort_array(F.collect_list("span")).alias("terms"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

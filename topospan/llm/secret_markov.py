@@ -6,14 +6,14 @@ base64 and upper-case alphanumeric digests of a counter) and ordinary identifier
 as they stand, in upper case and in pairs joined by `_`, `-` or a capital). A run of 20 or more
 characters of `[A-Za-z0-9+/_=-]` that holds a letter and a digit or both cases is a secret too if
 its log-likelihood ratio, random over ordinary, reaches `least_ratio` nats and `least_mean` nats a
-transition; such spans have the kind `markov` and keep clear of the fixed ones.
+transition; such spans have the kind `markov`. Runs are taken from the text outside the fixed spans.
 
 Everything is a DataFrame expression; of the corpus only the counts of character pairs of the
 bounded sample (at most 128 x 128) reach the driver, and the log ratios go back into the plan as
 one constant.
 
-Defined results: null and empty texts have no spans; whole texts are scanned; equal texts have
-equal spans; without any sample word both models are uniform but for the random strings' own
+Defined results: null and empty texts have no spans; whole texts are scanned, a megabyte of one
+match or of many included; equal texts have equal spans; columns of any name pass `redact`; without any sample word both models are uniform but for the random strings' own
 counts; offsets are code points.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
+from .common import as_row
 
 #: Fixed patterns. Runs are maximal, so a least length can stand in the pattern of access and hex.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,26 +38,23 @@ LEAST_RATIO = 12.0
 LEAST_MEAN = 0.75
 
 
-def base_spans(text: Column) -> dict[str, Column]:
+def found(text: Column) -> dict[str, Column]:
     """Matches of each fixed pattern, to be projected before `located` reads them."""
     return {"assign": S.matches(text, ASSIGN), "access": S.matches(text, ACCESS), "hex": S.matches(text, HEX)}
 
 
-def with_base(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds __base: the ordered spans of the fixed patterns."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = df.withColumns({f"__{k}": v for k, v in base_spans(text).items()})
+def base_spans(text: Column) -> Column:
+    """The ordered spans of the fixed patterns, from the columns `found` of the same names."""
     long_enough = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6
-    assign = S.located(text, ASSIGN, F.col("__assign"), 0, "assign", long_enough)
-    access = S.located(text, ACCESS, F.col("__access"), 1, "access")
-    hexes = S.located(text, HEX, F.col("__hex"), 2, "hex")
-    some = F.size("__assign") + F.size("__access") + F.size("__hex") > 0
-    return found.withColumn("__base", F.when(some, S.in_order(F.concat(assign, access, hexes))).otherwise(S.no_spans())).drop("__assign", "__access", "__hex")
+    assign = S.located(text, ASSIGN, F.col("assign"), 0, "assign", long_enough)
+    access = S.located(text, ACCESS, F.col("access"), 1, "access")
+    hexes = S.located(text, HEX, F.col("hex"), 2, "hex")
+    return F.when(F.size("assign") + F.size("access") + F.size("hex") > 0, S.in_order(F.concat(assign, access, hexes))).otherwise(S.no_spans())
 
 
 def _pair_counts(words: DataFrame) -> dict[str, int]:
     """Counts of adjacent characters of the column `w`."""
-    pairs = words.where(F.length("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("p"))
+    pairs = words.select(F.explode(F.regexp_extract_all("w", F.lit("(?s)(?=(..))"), F.lit(1))).alias("p"))
     return {r.p: r.n for r in pairs.groupBy("p").agg(F.count("*").alias("n")).collect()}
 
 
@@ -85,32 +83,37 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 def ratio(word: Column, table: list[float]) -> Column:
     """The log-likelihood ratio of a word."""
     known = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")
-    code = lambda i: F.ascii(F.substring(word, i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), F.lit(0.0), lambda acc, i: acc + F.get(known, code(i) * 128 + code(i + 1)))
 
+    def step(acc, c):
+        code = F.ascii(c)
+        return F.struct(code.alias("last"), (acc["sum"] + F.when(acc["last"] >= 0, F.get(known, acc["last"] * 128 + code)).otherwise(0.0)).alias("sum"))
 
-def with_spans(df: DataFrame, table: list[float], text_col: str = "text", least_ratio: float = LEAST_RATIO, least_mean: float = LEAST_MEAN) -> DataFrame:
-    """Adds __base and __spans (all spans, ordered) to the columns of `df`."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    mixed = lambda m: m.rlike("[A-Za-z]") & (m.rlike("[0-9]") | (m.rlike("[A-Z]") & m.rlike("[a-z].*[A-Z]")))
+    return F.aggregate(S.matches(word, "(?s)."), F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
+
+
+def with_spans(df: DataFrame, table: list[float], least_ratio: float = LEAST_RATIO, least_mean: float = LEAST_MEAN) -> DataFrame:
+    """(row, text, base, spans) from (row, text): the fixed patterns' spans, and all spans; both ordered."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    mixed = lambda m: m.rlike("[A-Za-z]") & (m.rlike("[0-9]") | m.rlike("^[^a-z]*+[a-z][^A-Z]*+[A-Z]"))
 
     def random(m):
-        r = ratio(m, table)
-        return F.when(mixed(m), (r >= least_ratio) & (r >= least_mean * (F.length(m) - 1))).otherwise(False)
+        return F.when(mixed(m), S.let(ratio(m, table), lambda r: (r >= least_ratio) & (r >= least_mean * (F.length(m) - 1)))).otherwise(False)
 
-    runs = with_base(df, text_col).withColumn("__runs", S.matches(text, RUN))
-    more = S.clear_of(S.located(text, RUN, F.col("__runs"), 3, "markov", random), F.col("__base"))
-    return runs.withColumn("__more", F.when(F.exists("__runs", mixed), more).otherwise(S.no_spans())).withColumn("__spans", F.when(F.size("__more") > 0, S.in_order(F.concat("__base", "__more"))).otherwise(F.col("__base"))).drop("__runs", "__more")
+    base = df.withColumns(found(text)).select("row", "text", base_spans(text).alias("base"))
+    runs = base.withColumn("clear", F.when(F.size("base") > 0, S.blanked(text, F.col("base"))).otherwise(text)).withColumn("runs", S.matches(F.col("clear"), RUN))
+    more = F.when(F.exists("runs", mixed), S.located(F.col("clear"), RUN, F.col("runs"), 3, "markov", random)).otherwise(S.no_spans())
+    return runs.withColumn("more", more).select("row", "text", "base", F.when(F.size("more") > 0, S.in_order(F.concat("base", "more"))).otherwise(F.col("base")).alias("spans"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and spans of each text; one row per row."""
-    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = with_spans(slim, train(slim))
-    return found.select("doc_id", *(S.of_kind(F.col("__base"), k).alias(f"n_{k}") for k in BASE), F.sha2(S.joined(F.col("__base")), 256).alias("base_sha256"), S.joined(F.col("__spans")).alias("spans"))
+    slim = df.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
+    out = with_spans(slim, train(slim, "row"))
+    return out.select(F.col("row").alias("doc_id"), *(S.of_kind(F.col("base"), k).alias(f"n_{k}") for k in BASE), F.sha2(S.joined(F.col("base")), 256).alias("base_sha256"), S.joined(F.col("spans")).alias("spans"))
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with every secret in its texts replaced by [SECRET]; a null text stays null."""
-    out = with_spans(df, train(df, id_col, text_col), text_col)
-    return out.withColumn(text_col, F.when(F.size("__spans") > 0, S.replaced(F.col(text_col), F.col("__spans"), lambda x: F.lit("[SECRET]"))).otherwise(F.col(text_col))).select(*(F.col(f"`{c}`") for c in df.columns))
+    out = with_spans(df.select(as_row(df).alias("row"), F.col(text_col).alias("text")), train(df, id_col, text_col))
+    text = F.when(F.size("spans") > 0, S.replaced(F.col("text"), F.col("spans"), lambda x: F.lit("[SECRET]"))).otherwise(F.col("text"))
+    return out.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns))

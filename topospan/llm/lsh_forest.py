@@ -2,24 +2,33 @@
 
 Texts (lower case, split at white space) are sets of their shingles of five words; a text of fewer
 words is one shingle. Texts of one set are copies and are represented by their least id. Each of
-`trees` prefix tries takes its own min-hashes of a set in order; sets meet where they share a
-prefix. Matched prefixes are shortened from `depth` until the chance that a pair of the least
-similarity shares one in some tree reaches `recall`: that depth's nodes, all longer prefixes
-included, are the buckets. A bucket's members are tied to its least id, never to each other, and
-the connected components of these ties hold every pair that shares a bucket.
-
-Verification is exact and complete inside a component: its sets meet in tiles of at most
-`tile` x `tile`, where intersections of all pairs are one product of 0/1 matrices. A tile returns a
-row per set (its verified neighbours, and the least id that it is linked to), never the pairs. A
-component of more than `tile` sets is dealt into blocks by a hash, each pair of blocks a tile, so
-that no task grows with a group. Copies are counted before anything is joined, by partial sums.
+`trees` tries holds a path for every set: a level for each of `depth` min-hashes, packed into 64
+bits (LEVELS), so that the sorted paths are the trie and a node is a run of them that share a
+prefix. Paths are sorted over the cluster by ranges, and one scan of each range finds the runs at
+every depth from `depth` down to the least that can be needed; runs that cross ranges are tied by
+their ends. No node is gathered, however many sets it holds: its members are tied to its first.
+
+Sets that share a node meet. Matched prefixes are shortened adaptively: the first round takes the
+whole depth; from the exact similarities of the pairs that it verifies, weighted by the inverse of
+their chance to be found, follows the longest prefix that would miss at most 1 - `recall` of them,
+in total (a pair at the least similarity is added for what hasn't been seen) and at each similarity;
+the next round takes that prefix, and so on until no shorter one is asked for. At the least depth
+even a pair at the least similarity is missed with a chance of at most 1 - `recall`.
+
+Verification is exact: connected components of the ties are verified whole if they have at most
+`tile` sets; larger ones are dealt into blocks by a hash and only the blocks of sets that met in a
+node meet again, so a chain of many sets doesn't become a square. Tiles hold at most about
+`tile` x `tile` sets, and intersections of all their pairs are one product of 0/1 matrices. A tile
+returns a row per set (its verified neighbours, and the least id that it is linked to) and a
+histogram of similarities, never the pairs. Copies are counted before anything is joined.
 
 Result: doc_id, class_id (least id of the group linked by similarities of at least `similarity`),
 text_id (least id of the same set), n_copies (rows of that set), n_links (other sets at least as
-similar). Pairs that share no bucket are missed, by chance 1 - recall each at the least similarity.
+similar).
 
 Defined results: a text that is null, empty or blank is its own class, with no links; a row whose
-id is null has a null class and no links; repeated rows are copies; ids are taken to name one text.
+id is null has a null class and no links; repeated rows are copies; ids are taken to name one text;
+columns of any name pass `one_of_each`.
 """
 
 from __future__ import annotations
@@ -33,8 +42,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from .common import written
+from .common import as_row, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -47,11 +57,31 @@ _RNG = np.random.default_rng(20240501)
 _STEP = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _RNG.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
+#: Bits of each level of a path.
+LEVELS = (10, 10, 10, 10, 10, 5, 5, 4)
+#: How far a path is shifted to leave the prefix of each depth.
+SHIFTS = tuple(64 - sum(LEVELS[:k]) for k in range(DEPTH + 1))
+#: Nodes with more ties than this are joined by a broadcast; one in so many ties can be such a node.
+HOT, HOT_SHARE = 10_000, 1_000
+
+
+def reach(similarity, depth: int, trees: int = TREES):
+    """The chance that a pair of that similarity shares a prefix of that depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def least_depth(trees: int, depth: int, similarity: float, recall: float) -> int:
     """The longest prefix, at most `depth`, at which a pair of that similarity meets with chance `recall`."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
+    while depth > 1 and reach(similarity, depth, trees) < recall:
+        depth -= 1
+    return depth
+
+
+def next_depth(found: dict[float, int], depth: int, least: int, similarity: float, recall: float, trees: int = TREES) -> int:
+    """The longest prefix, at most `depth`, at which the pairs found at `depth` (counts by similarity) would reach `recall`."""
+    s = np.array([similarity, *found])
+    n = np.array([1.0, *(n / reach(x, depth, trees) for x, n in found.items())])
+    while depth > least and (reach(s[1:], depth, trees).min(initial=1.0) < recall or (n * reach(s, depth, trees)).sum() / n.sum() < recall):
         depth -= 1
     return depth
 
@@ -84,44 +114,113 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def buckets(shingles: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The prefix of `depth` min-hashes in each tree, hashed."""
-    n = trees * depth
+def paths(shingles: np.ndarray, trees: int = TREES) -> np.ndarray:
+    """The path of a set in each tree."""
+    n = trees * DEPTH
     least = np.full(n, 2**32 - 1, np.uint32)
     low = (shingles >> np.uint64(11)).astype(np.uint32)
-    for at in range(0, len(low), 2048):
-        least = np.minimum(least, (low[at : at + 2048, None] * _MUL[:n] + _ADD[:n]).min(axis=0))
-    own = np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(depth):
-        own = _mix((own ^ least[k::depth].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k))
+    buffer = np.empty((min(128, len(low)), n), np.uint32)  # small enough for a core's cache
+    for at in range(0, len(low), 128):
+        x = low[at : at + 128]
+        hashed = buffer[: len(x)]
+        np.multiply(x[:, None], _MUL[:n], out=hashed)
+        hashed += _ADD[:n]
+        np.minimum(least, hashed.min(axis=0), out=least)
+    own = np.zeros(trees, np.uint64)
+    for k, bits in enumerate(LEVELS):
+        level = (least[k::DEPTH] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+        own |= level.astype(np.uint64) << np.uint64(SHIFTS[k + 1])
     return own.view(np.int64)
 
 
-def _parts(batch: pa.RecordBatch, most_chars: int = 2_000_000):
-    keys, texts, size = [], [], 0
-    for key, text in zip(*batch.columns, strict=True):
-        keys.append(key.as_py())
-        texts.append(text.as_py() or "")
-        size += len(texts[-1])
+def _parts(texts: pa.Array, most_chars: int = 2_000_000):
+    """(start, end, texts) of a column in parts of bounded size."""
+    start, own, size = 0, [], 0
+    for k, text in enumerate(texts):
+        own.append(text.as_py() or "")
+        size += len(own[-1])
         if size >= most_chars:
-            yield keys, texts
-            keys, texts, size = [], [], 0
-    if keys:
-        yield keys, texts
+            yield start, k + 1, own
+            start, own, size = k + 1, [], 0
+    if own:
+        yield start, len(texts), own
 
 
-def signed(df: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, a and b (128-bit hash of the set; null without words), keys (bucket of each tree), from (doc_id, text)."""
+def signed(df: DataFrame, words: int, trees: int) -> DataFrame:
+    """(doc_id, row) with a and b (128-bit hash of the set; null without words), keys (path in each tree) and n_tokens, from (doc_id, row, text)."""
+    schema = df.select("doc_id", "row").schema.add("a", "long").add("b", "long").add("keys", ArrayType(LongType())).add("n_tokens", "long")
 
     def run(batches):
         for batch in batches:
-            for keys, texts in _parts(batch):
+            for start, end, texts in _parts(batch.column(2)):
                 sets = shingle_sets(texts, words)
                 marks = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 a, b = ([None if m is None else int.from_bytes(m[k : k + 8], "little", signed=True) for m in marks] for k in (0, 8))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([buckets(s, trees, depth) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "a", "b", "keys"])
+                tokens = [len(x.encode("utf-8", "surrogatepass").split()) for x in texts]
+                own = [batch.column(k).slice(start, end - start) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([paths(s, trees) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.array(tokens, pa.int64())], names=["doc_id", "row", "a", "b", "keys", "n_tokens"])
+
+    return df.mapInArrow(run, schema)
+
+
+def forest(sets: DataFrame, least: int) -> DataFrame:
+    """The runs of all tries from (doc, keys): (tree, key, doc, depth, leaders).
+
+    Rows of depth 0: a set that shares a prefix of `least` levels with the set before it, and the
+    first set of its run at depths DEPTH, DEPTH - 1, ..., `least`. Rows of a depth: the first set
+    (doc) of the first and of the last run of a range, with their prefix as the key.
+    """
+    placed = sets.select(F.posexplode("keys").alias("tree", "key"), "doc").repartitionByRange("tree", "key", "doc").sortWithinPartitions("tree", "key", "doc")
+    depths = list(range(DEPTH, least - 1, -1))
 
-    return df.mapInArrow(run, "doc_id long, a long, b long, keys array<long>")
+    def out(tree, key, doc, depth, leaders):
+        return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(depth, pa.int32()), pa.array(leaders, pa.list_(pa.int64()))], names=["tree", "key", "doc", "depth", "leaders"])
+
+    def run(batches):
+        last = None  # tree, key and the leaders of the row before
+        ends = []
+        for batch in batches:
+            tree, key, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            if not len(doc):
+                continue
+            before_tree = np.concatenate(([tree[0] if last is None else last[0]], tree[:-1]))
+            before_key = np.concatenate(([key[0] if last is None else last[1]], key[:-1]))
+            leaders = np.empty((len(depths), len(doc)), np.int64)
+            for n, d in enumerate(depths):
+                shift = np.int64(SHIFTS[d])
+                new = (tree != before_tree) | (key >> shift != before_key >> shift)
+                new[0] |= last is None
+                at = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
+                leaders[n] = np.where(at >= 0, doc[at], 0 if last is None else last[2][n])
+            if last is None:
+                ends += [(tree[0], key[0] >> np.int64(SHIFTS[d]), doc[0], d) for d in depths]
+            met = ~new
+            last = tree[-1], key[-1], leaders[:, -1].copy()
+            if met.any():
+                yield out(tree[met], key[met], doc[met], np.zeros(int(met.sum()), np.int32), list(leaders[:, met].T))
+        if last is not None:
+            ends += [(last[0], last[1] >> np.int64(SHIFTS[d]), last[2][n], d) for n, d in enumerate(depths)]
+            yield out(*(np.array([x[k] for x in ends]) for k in range(4)), [None] * len(ends))
+
+    return placed.mapInArrow(run, "tree int, key long, doc long, depth int, leaders array<long>")
+
+
+def nodes(runs: DataFrame, depth: int) -> DataFrame:
+    """(tree, doc, node): the sets that share a prefix of `depth` with another, each with the first set of the trie's node."""
+    edge = runs.where(F.col("depth") == depth).select("tree", "key", "doc").distinct()
+    whole = edge.groupBy("tree", "key").agg(F.min("doc").alias("node"), F.count("*").alias("n")).where("n > 1").drop("n")
+    crossing = F.broadcast(edge.join(whole, ["tree", "key"]).select("tree", F.col("doc").alias("first"), "node"))  # two rows a range
+    inner = runs.where("depth = 0").select("tree", "doc", F.col("leaders")[DEPTH - depth].alias("first"))
+    tied = inner.where("doc != first").join(crossing, ["tree", "first"], "left").select("tree", "doc", F.coalesce("node", "first").alias("node"))
+    return tied.union(crossing.select("tree", F.col("first").alias("doc"), "node"))
+
+
+def _with_least(edges: DataFrame, least: DataFrame, cut: int) -> DataFrame:
+    """edges (a, b) with m of `least` (a, m, n): nodes of more than `cut` edges by a broadcast, so none is one task's; cut 0: there are none."""
+    if not cut:
+        return edges.join(least.select("a", "m"), "a")
+    hot = F.broadcast(least.where(F.col("n") > cut).select("a", "m"))
+    return edges.join(hot, "a").union(edges.join(hot.select("a"), "a", "left_anti").join(least.where(F.col("n") <= cut).select("a", "m"), "a"))
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -131,13 +230,14 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """
     e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "cc")
     last = None
+    n = e.df.count()
+    cut = max(HOT, 2 * n // HOT_SHARE) if n > HOT else 0  # so at most HOT_SHARE nodes are broadcast
     for _ in range(most_rounds):
         both = e.df.union(e.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, low, cut).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = written(large, "cc")
-        low = large.df.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.df.join(low, "a")
+        met = _with_least(large.df, large.df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), cut)
         small = met.select("a", F.col("m").alias("b")).union(met.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
         e, old = written(small, "cc"), (e, large)
         state = e.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -149,8 +249,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
-def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity_parts: tuple[int, int]) -> np.ndarray:
-    """Whether each set of `left` and of `right` (indices) are similar, as a matrix.
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity_parts: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each set of `left` and of `right` (indices) are similar, as a matrix, and how much.
 
     p/q is the least similarity: |x & y| (p + q) >= p (|x| + |y|), in whole numbers.
     """
@@ -177,19 +277,26 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similari
             here = place[owner[a:b]]
             matrix[here[here >= 0], column[a:b][here >= 0] - at] = 1
         both += m[0] @ m[1].T
-    return both.astype(np.int64) * (p + q) >= p * (size[left][:, None] + size[right])
+    total = size[left][:, None] + size[right]
+    return both.astype(np.int64) * (p + q) >= p * total, both / np.maximum(total - both, 1)
 
 
-def _verified(own: pd.DataFrame, words: int, similarity_parts: tuple[int, int]) -> list[tuple[int, int, int]]:
-    """(set, least id linked to it here, links) of one tile: rows of doc, side (0 left, 1 right, 2 both), text."""
+def _verified(own: pd.DataFrame, words: int, similarity_parts: tuple[int, int]) -> list[tuple[int | None, int, int]]:
+    """(set, least id linked to it here, links) of one tile: rows of doc, side (0 left, 1 right, 2 both), text.
+
+    Rows without a set: the pairs' similarity in hundredths, rounded down, and their number.
+    """
     own = own.drop_duplicates("doc").sort_values("doc")
     docs, side = own["doc"].to_numpy(), own["side"].to_numpy()
     sets = shingle_sets(own["text"].tolist(), words)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     if not len(left) or not len(right):
         return []
-    near = linked(sets, left, right, similarity_parts)
+    near, how = linked(sets, left, right, similarity_parts)
     near &= left[:, None] != right
+    level, n = np.unique(np.floor(100 * how[near] + 1e-6).astype(int), return_counts=True)
+    if side.min() == 2:
+        n //= 2
     links = np.zeros(len(docs), np.int64)
     links[left] += near.sum(axis=1)
     if side.min() < 2:
@@ -201,19 +308,22 @@ def _verified(own: pd.DataFrame, words: int, similarity_parts: tuple[int, int])
         label[right] = np.minimum(label[right], np.where(near, label[left][:, None], len(docs)).min(axis=0))
         if (old == label).all():
             break
-    return [(int(d), int(docs[k]), int(n)) for d, k, n in zip(docs, label, links, strict=True)]
+    return [*((int(d), int(docs[k]), int(x)) for d, k, x in zip(docs, label, links, strict=True)), *((None, int(s), int(x)) for s, x in zip(level, n, strict=True) if x)]
 
 
-def verify(members: DataFrame, texts: DataFrame, words: int, similarity_parts: tuple[int, int], tile: int, small_bytes: int) -> DataFrame:
-    """(doc, leader, links) over tiles; members: (doc, root), texts: (doc_id, text)."""
+def verify(members: DataFrame, met: DataFrame, texts: DataFrame, words: int, similarity_parts: tuple[int, int], tile: int, small_bytes: int) -> DataFrame:
+    """(doc, leader, links) over tiles; members: (doc, root), met: (tree, doc, node), texts: (doc_id, text)."""
     sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    sized = members.join(sizes, "root")
+    bins = max(1, -(-members.count() // tile))
+    whole = members.join(sizes.where(F.col("n") <= tile).select("root"), "root").select("doc", "root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), F.pmod(F.xxhash64("root"), F.lit(bins)).alias("bin"))
     blocks = F.ceil(F.col("n") / tile).cast("int")
-    total = members.count()
-    bins = max(1, -(-total // tile))
-    own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    dealt = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("doc", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), F.when(blocks == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))).alias("bin"))
-    dealt = written(dealt, "near-tiles")
+    large = members.join(sizes.where(F.col("n") > tile), "root").withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).select("doc", "root", "own")
+    places = met.union(met.select("tree", F.col("node").alias("doc"), "node").distinct()).join(large, "doc")
+    others = places.groupBy("tree", "node").agg(F.collect_set("own").alias("others"))  # at most n / tile numbers
+    own, other = F.col("own"), F.col("other")
+    dealt = places.join(others, ["tree", "node"]).select("doc", "root", "own", F.explode("others").alias("other")).distinct()
+    dealt = dealt.select("doc", "root", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), F.when(own == other, 2).when(own < other, 0).otherwise(1).alias("side"), F.xxhash64("root", F.least(own, other), F.greatest(own, other)).alias("bin"))
+    dealt = written(whole.union(dealt), "near-tiles")
     small = F.broadcast(dealt.df) if dealt.size() <= small_bytes else dealt.df
     rows = texts.select(F.col("doc_id").alias("doc"), "text").join(small, "doc")
 
@@ -226,23 +336,43 @@ def verify(members: DataFrame, texts: DataFrame, words: int, similarity_parts: t
     return rows.groupBy("bin").applyInPandas(run, "doc long, leader long, links long")
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity_parts: tuple[int, int] = (4, 5), trees: int = TREES, recall: float = RECALL, tile: int = TILE, small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """doc_id, class_id, text_id, n_copies, n_links of every row. similarity_parts: numerator, denominator."""
-    depth = least_depth(trees, DEPTH, similarity_parts[0] / similarity_parts[1], recall)
-    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = written(signed(slim, words, trees, depth), "near-signed").df
+def classed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: int = WORDS, similarity_parts: tuple[int, int] = (4, 5), trees: int = TREES, recall: float = RECALL, tile: int = TILE, small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """doc_id, row (the columns `carry`), n_tokens, a and b (the set, null without words) of every row, and its set's text_id, n_copies, class_id, n_links.
+
+    similarity_parts: numerator, denominator. The last four are null for sets that no row with an id has.
+    """
+    similarity = similarity_parts[0] / similarity_parts[1]
+    least = least_depth(trees, DEPTH, similarity, recall)
+    slim = df.select(F.col(id_col).cast("long").alias("doc_id"), as_row(df.select(carry or [])).alias("row") if carry else F.lit(None).cast("int").alias("row"), F.col(text_col).alias("text"))
+    marks = written(signed(slim, words, trees), "near-signed").df
     known = marks.where("a is not null and doc_id is not null")
     sets = written(known.groupBy("a", "b").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_copies"), F.first("keys").alias("keys")), "near-sets").df
-    places = sets.select("doc", F.posexplode("keys").alias("tree", "key"))
-    shared = written(places.groupBy("tree", "key").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "near-buckets")
-    ties = places.join(shared.df.hint("merge"), ["tree", "key"]).where("doc != least").select(F.col("doc").alias("a"), F.col("least").alias("b"))
-    tied = components(ties)
-    members = written(tied.select(F.col("node").alias("doc"), "root").union(tied.select(F.col("root").alias("doc"), "root").distinct()), "near-members").df
-    found = written(verify(members, slim, words, similarity_parts, tile, small_bytes), "near-links").df
+    runs = written(forest(sets, least), "near-runs")
+    depth, links = DEPTH, None
+    while True:
+        met = written(nodes(runs.df, depth), "near-nodes")
+        tied = components(met.df.select(F.col("doc").alias("a"), F.col("node").alias("b")))
+        members = written(tied.select(F.col("node").alias("doc"), "root").union(tied.select(F.col("root").alias("doc"), "root").distinct()), "near-members")
+        links = written(verify(members.df, met.df, slim, words, similarity_parts, tile, small_bytes), "near-links")
+        met.drop()
+        members.drop()
+        found = {max(r.leader / 100, similarity): r.n for r in links.df.where("doc is null").groupBy("leader").agg(F.sum("links").alias("n")).collect()}  # a row for each hundredth
+        shorter = next_depth(found, depth, least, similarity, recall, trees)
+        if shorter == depth:
+            break
+        depth = shorter
+        links.drop()
+    runs.drop()
+    found = links.df.where("doc is not null")
     whole = components(found.select(F.col("doc").alias("a"), F.col("leader").alias("b")))
-    links = found.groupBy("doc").agg(F.sum("links").alias("n_links")).where("n_links > 0").join(whole.select(F.col("node").alias("doc"), "root"), "doc", "left")
-    classes = sets.drop("keys").join(links, "doc", "left").select("a", "b", F.col("doc").alias("text_id"), "n_copies", F.coalesce("root", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = marks.drop("keys").join(classes, ["a", "b"], "left")
+    linked_ = found.groupBy("doc").agg(F.sum("links").alias("n_links")).where("n_links > 0").join(whole.select(F.col("node").alias("doc"), "root"), "doc", "left")
+    classes = sets.drop("keys").join(linked_, "doc", "left").select("a", "b", F.col("doc").alias("text_id"), "n_copies", F.coalesce("root", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return marks.drop("keys").join(classes, ["a", "b"], "left")
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """doc_id, class_id, text_id, n_copies, n_links of every row; `how` goes to `classed`."""
+    out = classed(df, id_col, text_col, **how)
     alone = F.col("text_id").isNull() | F.col("doc_id").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"), F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
@@ -252,8 +382,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Only sets with copies can hold repeated rows, so no others are shuffled whole.
     """
-    firsts = written(similar(df, id_col, text_col).where("doc_id = class_id").groupBy(F.col("doc_id").alias("__first")).agg(F.max(F.col("n_copies") > 1).alias("__copies")), "near-firsts").df
-    kept = df.join(firsts.hint("merge"), F.col(id_col).cast("long") == F.col("__first"))
-    back = [F.col(f"`{c}`") for c in df.columns]
-    once = kept.where("not __copies").select(back).unionByName(kept.where("__copies").select(back).dropDuplicates([id_col]))
-    return once.unionByName(df.where(F.col(id_col).isNull()))
+    firsts = written(similar(df, id_col, text_col).where("doc_id = class_id").groupBy(F.col("doc_id").alias("first")).agg(F.max(F.col("n_copies") > 1).alias("copies")), "near-firsts").df
+    rows = df.select(F.col(id_col).cast("long").alias("id"), as_row(df).alias("row"))
+    kept = rows.join(firsts.hint("merge"), rows["id"] == firsts["first"])
+    once = kept.where("not copies").select("row").union(kept.where("copies").dropDuplicates(["id"]).select("row")).union(rows.where("id is null").select("row"))
+    return once.select(*(F.col("row")[c].alias(c) for c in df.columns))

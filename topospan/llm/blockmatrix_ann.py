@@ -11,9 +11,11 @@ of the tile nor the query's k-th score so far can't be among the k nearest; the
 are recomputed in double precision and go through a heap for each query. A task's heaps meet in a
 ranking by query, which Spark limits to k rows a query before its shuffle. The result is exact.
 
-The queries are a stated set against all rows, in blocks. Blocks of queries are broadcast if their
-written size is under `small_bytes`; otherwise candidates are dealt to each group of query blocks
-by an equality join on the group.
+The queries are a stated set against all rows, in blocks: groups of QUERY_BLOCKS query blocks meet
+groups of CANDIDATE_BLOCKS candidate blocks by an equality join on both groups, at every size. So a
+key holds a bounded rectangle of the matrix, tasks read the rectangles one after another in the
+order of the query groups, and a task's heaps are those of one group. Vectors travel in the type
+they came in (4 bytes a component of float arrays); the int8 form is made beside the product.
 
 Defined results: rows with a null id, or a vector that is null, empty, zero or holds a null or a
 non-finite component, take no part; vectors of other dimensions than the query's are no candidates
@@ -35,8 +37,8 @@ from .common import written
 
 K = 20
 BLOCK = 4096
-GROUP = 16
-SMALL_BYTES = 16 << 20
+QUERY_BLOCKS = 4
+CANDIDATE_BLOCKS = 4
 
 
 def usable(vector: Column) -> Column:
@@ -45,17 +47,16 @@ def usable(vector: Column) -> Column:
 
 
 def pack(df: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of up to `block` vectors of one dimension: (dim, part, n, ids, vectors), from (id, vector)."""
+    """Blocks of up to `block` vectors of one dimension: (dim, width, n, ids, vectors), from (id, vector)."""
+    kind = np.float32 if df.schema["vector"].dataType.elementType.typeName() == "float" else np.float64
+    width = np.dtype(kind).itemsize
 
     def run(batches):
         held: dict[int, list] = {}
-        part = 0
 
         def row(dim, own):
-            nonlocal part
-            part += 1
-            ids, vectors = np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.float64)
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(own)], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([vectors.tobytes()], pa.binary())})
+            ids, vectors = np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], kind)
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "width": pa.array([width], pa.int32()), "n": pa.array([len(own)], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([vectors.tobytes()], pa.binary())})
 
         for batch in batches:
             for key, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -66,15 +67,15 @@ def pack(df: DataFrame, block: int = BLOCK) -> DataFrame:
         for dim, own in held.items():
             yield row(dim, own)
 
-    return df.mapInArrow(run, "dim int, n int, ids binary, vectors binary")
+    return df.mapInArrow(run, "dim int, width int, n int, ids binary, vectors binary")
 
 
 class Tile:
     """A block with its quantised form and the norms that bound its error."""
 
-    def __init__(self, dim: int, ids: bytes, vectors: bytes):
+    def __init__(self, dim: int, width: int, ids: bytes, vectors: bytes):
         self.ids = np.frombuffer(ids, np.int64)
-        self.x = np.frombuffer(vectors, np.float64).reshape(-1, dim)
+        self.x = np.frombuffer(vectors, f"f{width}").reshape(-1, dim).astype(np.float64)
         self.scale = np.abs(self.x).max(axis=1) / 127
         with np.errstate(divide="ignore", invalid="ignore"):
             self.q = np.where(self.scale[:, None] > 0, np.rint(self.x / self.scale[:, None]), 0).astype(np.int8)
@@ -102,45 +103,53 @@ def survivors(q: Tile, c: Tile, k: int, least: np.ndarray, chunk: int = 512):
         yield i + at, j, np.einsum("ij,ij->i", q.x[i + at], c.x[j])
 
 
-def nearest(df: DataFrame, query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, block: int = BLOCK, small_bytes: int = SMALL_BYTES) -> DataFrame:
+def nearest(df: DataFrame, query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, block: int = BLOCK, query_blocks: int = QUERY_BLOCKS, candidate_blocks: int = CANDIDATE_BLOCKS) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of each row that `query` (of the column id) holds for."""
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
-    queries = written(pack(slim.where(query), block), "ann-queries")
-    blocks = written(pack(slim, block), "ann-blocks")
-    asked = queries.df.select("dim", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
-    tasks = max(1, -(-blocks.df.count() // 4))
-    if queries.size() <= small_bytes:
-        tiles = blocks.df.repartition(tasks).join(F.broadcast(asked), "dim")
-    else:
-        groups = -(-queries.df.count() // GROUP)
-        asked = asked.withColumn("g", F.pmod(F.xxhash64("qids"), F.lit(groups)))
-        tiles = blocks.df.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).join(asked, ["dim", "g"])
+    vector = F.col(vector_col)
+    if df.schema[vector_col].dataType.elementType.typeName() not in ("float", "double"):
+        vector = vector.cast("array<double>")
+    slim = df.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
+    queries = written(pack(slim.where(query), block), "ann-queries").df
+    blocks = written(pack(slim, block), "ann-blocks").df
+    rows, columns = (max(1, -(-x.count() // n)) for x, n in ((queries, query_blocks), (blocks, candidate_blocks)))
+
+    def dealt(x, own, n, other, m):
+        return x.withColumn(own, F.pmod(F.xxhash64("ids"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+
+    asked = dealt(queries, "g", rows, "h", columns).select("dim", "g", "h", "width", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
+    tiles = asked.join(dealt(blocks, "h", columns, "g", rows).select("dim", "g", "h", "ids", "vectors").hint("merge"), ["dim", "g", "h"])
 
     def run(batches):
-        heaps: dict[tuple[bytes, int], list] = {}
+        heaps: dict[bytes, list] = {}
         seen: dict[bytes, Tile] = {}
-        last = None
+        group, last = None, (None, None)
+
+        def out():
+            for qids, q in seen.items():
+                best = [(int(q.ids[n]), -key, x) for n, h in enumerate(heaps[qids]) for x, key in h]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in best], pa.int64()), pa.array([r[1] for r in best], pa.int64()), pa.array([r[2] for r in best], pa.float64())], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
-            for r in batch.to_pylist():
+            for n in range(batch.num_rows):
+                r = batch.slice(n, 1).to_pylist()[0]
+                if group != (r["dim"], r["g"]):  # the join is sorted by its key
+                    yield from out()
+                    group, heaps, seen = (r["dim"], r["g"]), {}, {}
                 if r["qids"] not in seen:
-                    seen[r["qids"]] = Tile(r["dim"], r["qids"], r["qvectors"])
-                    for n in range(len(seen[r["qids"]].ids)):
-                        heaps[r["qids"], n] = []
-                q, key = seen[r["qids"]], (r["ids"], r["dim"])
-                if last is None or last[0] != key:
-                    last = key, Tile(r["dim"], r["ids"], r["vectors"])
-                own = [heaps[r["qids"], n] for n in range(len(q.ids))]
+                    seen[r["qids"]] = Tile(r["dim"], r["width"], r["qids"], r["qvectors"])
+                    heaps[r["qids"]] = [[] for _ in seen[r["qids"]].ids]
+                q, own = seen[r["qids"]], heaps[r["qids"]]
+                if last[0] != (r["dim"], r["ids"]):
+                    last = (r["dim"], r["ids"]), Tile(r["dim"], r["width"], r["ids"], r["vectors"])
                 least = np.array([h[0][0] if len(h) == k else -np.inf for h in own])
                 for i, j, score in survivors(q, last[1], k, least):
-                    for n, key, x in zip(i.tolist(), last[1].ids[j].tolist(), score.tolist(), strict=True):
-                        h = own[n]
+                    for at, key, x in zip(i.tolist(), last[1].ids[j].tolist(), score.tolist(), strict=True):
+                        h = own[at]
                         if len(h) < k:
                             heapq.heappush(h, (x, -key))
                         elif (x, -key) > h[0]:
                             heapq.heapreplace(h, (x, -key))
-        for qids, q in seen.items():
-            rows = [(int(q.ids[n]), -key, x) for n in range(len(q.ids)) for x, key in heaps[qids, n]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "vec_id", "score"])
+        yield from out()
 
     found = tiles.mapInArrow(run, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topospan.llm import bestfit_pack, lsh_forest, rank_langid, secret_markov
-from topospan.llm.common import fold
+from topospan.llm.common import fold, written
 
 #: A text whose nearest profile is farther than this (1 - distance / largest distance) is in no known language.
 LEAST_SCORE = 0.2
@@ -19,8 +19,8 @@ LEAST_SCORE = 0.2
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts far from every language's profile."""
     known = rank_langid.train(docs.where(fold("doc_id", 3) != 1))
-    predicted = rank_langid.predict(docs, known)
-    return predicted.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    kept = rank_langid.predict(docs, known).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again."""
-    from topospan.llm.common import written
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+        table = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            before.drop()
+        docs, before = table.df, table
     return STAGES[-1][1](spark, docs, sf_dir)

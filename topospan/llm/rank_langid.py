@@ -11,7 +11,7 @@ n-gram and only the profiles (`profile` n-grams a language) reach the driver.
 
 Defined results: `und` with score 0 for a null text or one without letters, and for every text
 where no language was learned; very long texts are counted whole; score is 1 - distance / largest
-possible distance. Null languages are not learned from. A language holding a third of all rows is
+possible distance; columns of any name pass `predict`. Null languages are not learned from. A language holding a third of all rows is
 no hot key: counts are summed per task before the shuffle.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, strings
+from .common import as_row, fold, strings
 
 PROFILE = 300
 
@@ -119,18 +119,16 @@ class Profiles:
         return self.langs[k], float(1 - distance[k] / (self.size * len(top)))
 
 
-def predict(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", keep: list[str] | None = None, profile: int = PROFILE) -> DataFrame:
-    """The columns `keep` (all of them, by default) with lang_pred and score."""
-    kept = df.columns if keep is None else keep
+def predict(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", profile: int = PROFILE) -> DataFrame:
+    """(row, lang_pred, score): `row` is a struct of all columns of `df`, so none can clash."""
     known = Profiles(profiles, profile)
-    frame = df.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).alias("__text"))
-    schema = frame.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    frame = df.select(as_row(df).alias("row"), F.col(text_col).alias("text"))
+    schema = frame.drop("text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         for batch in batches:
-            got = [known.predict(x) for x in strings(batch.column(batch.num_columns - 1))]
-            columns = batch.columns[:-1] + [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
+            got = [known.predict(x) for x in strings(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["row", "lang_pred", "score"])
 
     return frame.mapInArrow(run, schema)
 
@@ -138,5 +136,5 @@ def predict(df: DataFrame, profiles: dict[str, list[int]], text_col: str = "text
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the texts of the folds 0 and 2 of 3."""
     known = train(df.where(fold(id_col, 3) != 1), text_col, lang_col)
-    out = predict(df.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, 3) == 1).alias("held_out"), F.col(text_col).alias("text")), known, "text", ["doc_id", "held_out"])
-    return out
+    frame = df.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, 3) == 1).alias("held_out"), F.col(text_col).alias("text"))
+    return predict(frame, known).select("row.doc_id", "row.held_out", "lang_pred", "score")

@@ -108,7 +108,7 @@ def test_language_model_against_brute_force(docs, empty):
             if not held and zlib.crc32(x.encode()) & 1 == h:
                 for a, b in zip(["", *t[:-1]], t, strict=True):
                     f = [interp_lm._level(np.array([y]))[0] for y in (c2[a, b] / max(c1[a], 1), c1[b] / max(sum(c1.values()), 1))]
-                    cells[int((interp_lm.bucket(np.array([c1[a]]))[0] * 1000 + f[0]) * 1000 + f[1])] += 1
+                    cells[int((interp_lm.bucket(np.array([2 * c1[a]]))[0] * 1000 + f[0]) * 1000 + f[1])] += 1
     keys = sorted(cells)
     weights = interp_lm.mixture(np.array(keys), np.array([cells[k] for k in keys], float), v)
     got = collections.defaultdict(list)
@@ -206,9 +206,9 @@ def test_nearest_vectors_against_brute_force(spark):
     x[50] = x[60]
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (None, [1.0] * 16), (1004, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
-    for small in (1 << 24, 0):
+    for groups in (1, 4):
         got = collections.defaultdict(list)
-        for r in blockmatrix_ann.nearest(df, F.col("id") % 20 == 0, block=64, small_bytes=small).collect():
+        for r in blockmatrix_ann.nearest(df, F.col("id") % 20 == 0, block=8, query_blocks=groups, candidate_blocks=groups).collect():
             got[r.query_id].append((r["rank"], r.vec_id, r.score))
         s = x.astype(float) @ x.astype(float).T
         for q in range(0, 300, 20):

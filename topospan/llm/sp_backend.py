@@ -5,8 +5,10 @@ tokenizers `Tokenizer` is rebuilt: dummy prefix and metaspace marker, Unigram sc
 (ordered by piece score, as SentencePiece merges), byte fallback, and the decoder. Texts are cut
 before each run of markers, which changes nothing as long as no piece holds a marker after
 another character (checked when the model is loaded; otherwise whole texts are segments). Each
-worker encodes the segments that it has not met in batches, on several threads, and holds each
-against SentencePiece itself; `parity` tells whether all segments of a text agree.
+worker gives the segments that it has not met to the Tokenizer's `encode_batch`, which normalises,
+cuts and encodes them on several native threads, and holds each against SentencePiece itself;
+`parity` tells whether all segments of a text agree (texts that end in a lone marker, which no
+segment can stand for, are compared whole).
 
 Defined results: null and empty texts give no tokens, `roundtrip` and `parity` true; very long
 texts are encoded whole; repeated rows give equal values; the segment cache is bounded by
@@ -17,9 +19,9 @@ bytes (a model's size doesn't depend on the data, and is checked against `max_mo
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from array import array
-from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
 
 import numpy as np
@@ -139,14 +141,15 @@ class Codec:
         import sentencepiece
 
         self.model = Model(raw)
-        self.bare, self.prep = self.model.tokenizer(bare=True), self.model.normalizer()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+        self.bare, self.whole, self.prep = self.model.tokenizer(bare=True), self.model.tokenizer(), self.model.normalizer()
         self.own = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.plain = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix and self.model.cut
         self.bytes, self.most, self.threads = self.model.piece_bytes(), cache_segments, threads
         self.ids: dict[str, bytes] = {}  # little-endian int32
         self.old: dict[str, bytes] = {}
         self.odd: set[str] = set()
-        self.pool = ThreadPoolExecutor(threads)
         self.split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
     def segments(self, text: str) -> list[str]:
@@ -174,17 +177,23 @@ class Codec:
             self.ids.update((x, self.old[x]) for x in asked.intersection(self.old))
             asked.difference_update(self.old)
         fresh = list(asked)
-        cuts = [fresh[k : k + 2000] for k in range(0, len(fresh), 2000)]
-        got = list(chain.from_iterable(self.pool.map(self.tokenize, cuts)))
+        got = self.tokenize(fresh)
         self.ids.update((x, array("i", ids).tobytes()) for x, ids in zip(fresh, got, strict=True))
         if self.plain and fresh:
-            said = self.own.encode([self.spelled(x)[1:].replace(MARK, " ") for x in fresh], num_threads=self.threads)
+            said = self.own.encode(list(map(self.raw, fresh)), num_threads=self.threads)
             self.odd.update(x for x, a, b in zip(fresh, said, got, strict=True) if a != b and x != MARK)
 
+    def raw(self, segment: str) -> str:
+        """A text that a plain model normalises to the segment."""
+        return self.spelled(segment)[1:].replace(MARK, " ")
+
     def tokenize(self, segments: list[str]) -> list[list[int]]:
-        """One thread's share of a batch."""
-        own = self.bare.model.tokenize
-        return [[t.id for t in own(self.spelled(x))] for x in segments]
+        """Ids of segments, by a batch of the whole Tokenizer; of normalised ones by one that doesn't normalise again."""
+        if not self.plain:
+            return [e.ids for e in self.bare.encode_batch_fast(segments, add_special_tokens=False)]
+        out = [e.ids for e in self.whole.encode_batch_fast(list(map(self.raw, segments)), add_special_tokens=False)]
+        lone = [t.id for t in self.bare.model.tokenize(MARK)]
+        return [lone if x == MARK else ids for x, ids in zip(segments, out, strict=True)]
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Each text's ids as little-endian int32, and whether SentencePiece gives the same."""
@@ -193,7 +202,11 @@ class Codec:
         ids = [b"".join(map(self.ids.__getitem__, x)) for x in cut]
         if not self.plain:
             return ids, [np.frombuffer(a, "<i4").tolist() == b for a, b in zip(ids, self.own.encode(texts, num_threads=self.threads), strict=True)]
-        return ids, [not self.odd or self.odd.isdisjoint(x) for x in cut]
+        same = [not self.odd or self.odd.isdisjoint(x) for x in cut]
+        for k, x in enumerate(cut):
+            if MARK in x:
+                same[k] = np.frombuffer(ids[k], "<i4").tolist() == self.own.encode(texts[k])
+        return ids, same
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode("utf-8", "replace")

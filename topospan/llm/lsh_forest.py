@@ -8,19 +8,20 @@ prefix. Paths are sorted over the cluster by ranges, and one scan of each range
 every depth from `depth` down to the least that can be needed; runs that cross ranges are tied by
 their ends. No node is gathered, however many sets it holds: its members are tied to its first.
 
-Sets that share a node meet. Matched prefixes are shortened adaptively: the first round takes the
-whole depth; from the exact similarities of the pairs that it verifies, weighted by the inverse of
-their chance to be found, follows the longest prefix that would miss at most 1 - `recall` of them,
-in total (a pair at the least similarity is added for what hasn't been seen) and at each similarity;
-the next round takes that prefix, and so on until no shorter one is asked for. At the least depth
-even a pair at the least similarity is missed with a chance of at most 1 - `recall`.
+Sets that share a node meet. Matched prefixes are shortened adaptively: the first look takes the
+whole depth; how alike the sets that meet there are is estimated from all levels of their paths,
+and, weighting each pair by the inverse of its chance to be found, the next prefix is the longest
+that would miss at most 1 - `recall` of such pairs, in total (a pair at the least similarity is
+added for what hasn't been seen) and at each similarity; that is repeated until no shorter prefix is
+asked for. At the least depth even a pair at the least similarity is missed with a chance of at
+most 1 - `recall`. Every set is looked at in every tree.
 
 Verification is exact: connected components of the ties are verified whole if they have at most
 `tile` sets; larger ones are dealt into blocks by a hash and only the blocks of sets that met in a
 node meet again, so a chain of many sets doesn't become a square. Tiles hold at most about
 `tile` x `tile` sets, and intersections of all their pairs are one product of 0/1 matrices. A tile
-returns a row per set (its verified neighbours, and the least id that it is linked to) and a
-histogram of similarities, never the pairs. Copies are counted before anything is joined.
+returns a row per set (its verified neighbours, and the least id that it is linked to), never the
+pairs. Copies are counted before anything is joined.
 
 Result: doc_id, class_id (least id of the group linked by similarities of at least `similarity`),
 text_id (least id of the same set), n_copies (rows of that set), n_links (other sets at least as
@@ -33,6 +34,7 @@ columns of any name pass `one_of_each`.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from itertools import count
 
@@ -215,6 +217,21 @@ def nodes(runs: DataFrame, depth: int) -> DataFrame:
     return tied.union(crossing.select("tree", F.col("first").alias("doc"), "node"))
 
 
+def alike(met: DataFrame, sets: DataFrame, similarity: float) -> dict[float, int]:
+    """Numbers of met pairs (a set and its node's first) by estimated similarity in hundredths, of those at least as similar."""
+    pairs = met.select("doc", "node").distinct()
+    keys = sets.select("doc", "keys")
+    both = pairs.join(keys, "doc").join(keys.select(F.col("doc").alias("node"), F.col("keys").alias("others")), "node")
+
+    def same(k):  # an equal level is an equal min-hash, but for one of 2^bits chances
+        equal = lambda a, b: F.shiftrightunsigned(a.bitwiseXOR(b), SHIFTS[k + 1]).bitwiseAND((1 << LEVELS[k]) - 1) == 0
+        return F.size(F.filter(F.zip_with("keys", "others", equal), lambda x: x))
+
+    share = (same(0) + same(1) + same(2) + same(3) + same(4)) / (5 * F.size("keys"))
+    found = both.select(F.floor(share * 100 + 1e-6).alias("s")).where(F.col("s") >= math.floor(100 * similarity)).groupBy("s").count()
+    return {max(r.s / 100, similarity): r["count"] for r in found.collect()}  # a row for each hundredth
+
+
 def _with_least(edges: DataFrame, least: DataFrame, cut: int) -> DataFrame:
     """edges (a, b) with m of `least` (a, m, n): nodes of more than `cut` edges by a broadcast, so none is one task's; cut 0: there are none."""
     if not cut:
@@ -249,8 +266,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
-def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity_parts: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each set of `left` and of `right` (indices) are similar, as a matrix, and how much.
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity_parts: tuple[int, int]) -> np.ndarray:
+    """Whether each set of `left` and of `right` (indices) are similar, as a matrix.
 
     p/q is the least similarity: |x & y| (p + q) >= p (|x| + |y|), in whole numbers.
     """
@@ -277,26 +294,19 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similari
             here = place[owner[a:b]]
             matrix[here[here >= 0], column[a:b][here >= 0] - at] = 1
         both += m[0] @ m[1].T
-    total = size[left][:, None] + size[right]
-    return both.astype(np.int64) * (p + q) >= p * total, both / np.maximum(total - both, 1)
+    return both.astype(np.int64) * (p + q) >= p * (size[left][:, None] + size[right])
 
 
-def _verified(own: pd.DataFrame, words: int, similarity_parts: tuple[int, int]) -> list[tuple[int | None, int, int]]:
-    """(set, least id linked to it here, links) of one tile: rows of doc, side (0 left, 1 right, 2 both), text.
-
-    Rows without a set: the pairs' similarity in hundredths, rounded down, and their number.
-    """
+def _verified(own: pd.DataFrame, words: int, similarity_parts: tuple[int, int]) -> list[tuple[int, int, int]]:
+    """(set, least id linked to it here, links) of one tile: rows of doc, side (0 left, 1 right, 2 both), text."""
     own = own.drop_duplicates("doc").sort_values("doc")
     docs, side = own["doc"].to_numpy(), own["side"].to_numpy()
     sets = shingle_sets(own["text"].tolist(), words)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     if not len(left) or not len(right):
         return []
-    near, how = linked(sets, left, right, similarity_parts)
+    near = linked(sets, left, right, similarity_parts)
     near &= left[:, None] != right
-    level, n = np.unique(np.floor(100 * how[near] + 1e-6).astype(int), return_counts=True)
-    if side.min() == 2:
-        n //= 2
     links = np.zeros(len(docs), np.int64)
     links[left] += near.sum(axis=1)
     if side.min() < 2:
@@ -308,7 +318,7 @@ def _verified(own: pd.DataFrame, words: int, similarity_parts: tuple[int, int])
         label[right] = np.minimum(label[right], np.where(near, label[left][:, None], len(docs)).min(axis=0))
         if (old == label).all():
             break
-    return [*((int(d), int(docs[k]), int(x)) for d, k, x in zip(docs, label, links, strict=True)), *((None, int(s), int(x)) for s, x in zip(level, n, strict=True) if x)]
+    return [(int(d), int(docs[k]), int(n)) for d, k, n in zip(docs, label, links, strict=True)]
 
 
 def verify(members: DataFrame, met: DataFrame, texts: DataFrame, words: int, similarity_parts: tuple[int, int], tile: int, small_bytes: int) -> DataFrame:
@@ -348,22 +358,18 @@ def classed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     known = marks.where("a is not null and doc_id is not null")
     sets = written(known.groupBy("a", "b").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_copies"), F.first("keys").alias("keys")), "near-sets").df
     runs = written(forest(sets, least), "near-runs")
-    depth, links = DEPTH, None
-    while True:
-        met = written(nodes(runs.df, depth), "near-nodes")
-        tied = components(met.df.select(F.col("doc").alias("a"), F.col("node").alias("b")))
-        members = written(tied.select(F.col("node").alias("doc"), "root").union(tied.select(F.col("root").alias("doc"), "root").distinct()), "near-members")
-        links = written(verify(members.df, met.df, slim, words, similarity_parts, tile, small_bytes), "near-links")
-        met.drop()
-        members.drop()
-        found = {max(r.leader / 100, similarity): r.n for r in links.df.where("doc is null").groupBy("leader").agg(F.sum("links").alias("n")).collect()}  # a row for each hundredth
-        shorter = next_depth(found, depth, least, similarity, recall, trees)
+    depth = DEPTH
+    while depth > least:
+        shorter = next_depth(alike(nodes(runs.df, depth), sets, similarity), depth, least, similarity, recall, trees)
         if shorter == depth:
             break
         depth = shorter
-        links.drop()
-    runs.drop()
-    found = links.df.where("doc is not null")
+    met = written(nodes(runs.df, depth), "near-nodes")
+    tied = components(met.df.select(F.col("doc").alias("a"), F.col("node").alias("b")))
+    members = written(tied.select(F.col("node").alias("doc"), "root").union(tied.select(F.col("root").alias("doc"), "root").distinct()), "near-members")
+    found = written(verify(members.df, met.df, slim, words, similarity_parts, tile, small_bytes), "near-links").df
+    for table in (runs, met, members):
+        table.drop()
     whole = components(found.select(F.col("doc").alias("a"), F.col("leader").alias("b")))
     linked_ = found.groupBy("doc").agg(F.sum("links").alias("n_links")).where("n_links > 0").join(whole.select(F.col("node").alias("doc"), "root"), "doc", "left")
     classes = sets.drop("keys").join(linked_, "doc", "left").select("a", "b", F.col("doc").alias("text_id"), "n_copies", F.coalesce("root", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

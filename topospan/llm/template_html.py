@@ -1,7 +1,8 @@
 """Main text of web pages by a template deduced from equivalence classes (Arasu and Garcia-Molina, 2003).
 
-A page is a sequence of tokens: tags (opening and closing), and the words between them, each told
-apart by the path of open elements above it (with their id and class names). Over the pages of one
+A page is a sequence of tokens: tags (opening and closing), and the words between them (but for those
+inside `article` or `main`, which are data), each told apart by the path of open elements above it
+(with their id and class names). Over the pages of one
 host, tokens with the same occurrence vector (how often they stand on each page) form an
 equivalence class; vectors are compared by an order-free sum of hashes of (page, count), so a host's
 pages never meet in one task. Classes of at least `size` tokens and a support of at least `share`
@@ -17,8 +18,7 @@ with slots, the tokens that are in no valid class. The same pass measures how ma
 outside links stand in the slots under each element of the template.
 
 The main slot of a host is the innermost template element that holds at least half of the slots'
-characters: its whole content, since words of an article that happen to stand on each page are data
-too. Elements decide the ties: where the page has `article` or `main`, a main slot inside one is
+characters, with its whole content. Elements decide the ties: where the page has `article` or `main`, a main slot inside one is
 widened to it, one that contains some is narrowed to them, and one beside them yields to them; pages
 without a main slot (too few pages of the host, nothing in common) go by `article` and `main`, or
 else by the body. The column `decided` of extract() says which it was. Outside `article` and `main`
@@ -186,10 +186,10 @@ def vector(page: str) -> Counter:
     words: Counter = Counter()
     for kind, node, what in tokens(page):
         path = node.path
-        if kind == "text":
-            words.update([(path, w) for w in what.split()])
-        else:
+        if kind != "text":
             words[path, f" {kind}"] += 1
+        elif not node.main or node.aside:  # words of an article are data
+            words.update([(path, w) for w in what.split()])
     return Counter({_word(path, w): n for (path, w), n in words.items()})
 
 
@@ -299,6 +299,10 @@ def views(rows: DataFrame) -> DataFrame:
                 held: Counter = Counter()
                 for kind, node, what in tokens(page):
                     path = node.path
+                    if kind == "text" and node.main and not node.aside:
+                        if not node.link:
+                            held[node] += len(what.strip())
+                        continue
                     for word in what.split() if kind == "text" else (f" {kind}",):
                         known = codes.get((path, word))
                         if known is None:

@@ -17,8 +17,8 @@ none objects. What stays is a tree: gaps of ordered classes, each with the class
 with slots, the tokens that are in no valid class. The same pass measures how many characters
 outside links stand in the slots under each element of the template.
 
-The main slot of a host is the innermost template element that holds at least half of the slots'
-characters, with its whole content. Elements decide the ties: where the page has `article` or `main`, a main slot inside one is
+The main slot of a page is the innermost template element, of those that stand once on it, that
+holds at least half of the slots' characters over the host, with its whole content. Elements decide the ties: where the page has `article` or `main`, a main slot inside one is
 widened to it, one that contains some is narrowed to them, and one beside them yields to them; pages
 without a main slot (too few pages of the host, nothing in common) go by `article` and `main`, or
 else by the body. The column `decided` of extract() says which it was. Outside `article` and `main`
@@ -368,12 +368,13 @@ def main_text(page: str, template: Template | None = None) -> tuple[str, str]:
     own: Node | None = None  # the main slot: the innermost element of the template that holds half of the slots' characters
     depth = -1
     elements = []
+    times = Counter(node.path for kind, node, _ in stream if kind == "open")
     for kind, node, _ in stream:
         if kind != "open":
             continue
         if node.name in MAIN and not node.up.main and not node.aside:
             elements.append(node)
-        if node.path in template.large and not node.aside and _tag(node.path, "open") in template.tokens:
+        if node.path in template.large and times[node.path] == 1 and not node.aside and _tag(node.path, "open") in template.tokens:
             n = sum(1 for _ in _up(node))
             if n > depth:
                 own, depth = node, n

@@ -477,7 +477,7 @@ def test_forest_nodes_against_brute_force(spark):
     paths = [[int.from_bytes(np.packbits(np.concatenate((keys[k % 7][: 20 + k % 5 * 9], rng.integers(0, 2, 44 - k % 5 * 9)))).tobytes(), "big", signed=True) for _ in range(3)] for k in range(60)]
     sets = spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "doc long, keys array<long>").repartition(5)
     runs = lsh_forest.forest(sets, 2).cache()
-    for depth in (2, 3, 5, 8):
+    for depth in (2, 3, 5, 6):
         want = set()
         for tree in range(3):
             own = collections.defaultdict(set)

@@ -51,7 +51,7 @@ from .common import as_row, written
 WORDS = 5
 SIMILARITY = 0.8
 TREES = 30
-DEPTH = 8
+DEPTH = 6
 RECALL = 0.99999
 TILE = 2048
 SMALL_BYTES = 16 << 20
@@ -60,7 +60,7 @@ _STEP = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(
 _MUL = _RNG.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 #: Bits of each level of a path.
-LEVELS = (10, 10, 10, 10, 10, 5, 5, 4)
+LEVELS = (11, 11, 11, 11, 10, 10)
 #: How far a path is shifted to leave the prefix of each depth.
 SHIFTS = tuple(64 - sum(LEVELS[:k]) for k in range(DEPTH + 1))
 #: Nodes with more ties than this are joined by a broadcast; one in so many ties can be such a node.
@@ -121,9 +121,9 @@ def paths(shingles: np.ndarray, trees: int = TREES) -> np.ndarray:
     n = trees * DEPTH
     least = np.full(n, 2**32 - 1, np.uint32)
     low = (shingles >> np.uint64(11)).astype(np.uint32)
-    buffer = np.empty((min(128, len(low)), n), np.uint32)  # small enough for a core's cache
-    for at in range(0, len(low), 128):
-        x = low[at : at + 128]
+    buffer = np.empty((min(256, len(low)), n), np.uint32)  # small enough for a core's cache
+    for at in range(0, len(low), 256):
+        x = low[at : at + 256]
         hashed = buffer[: len(x)]
         np.multiply(x[:, None], _MUL[:n], out=hashed)
         hashed += _ADD[:n]

@@ -122,19 +122,19 @@ def test_whole_table_queries_against_brute_force(spark, tmp_path):
     edges = {(owner[o], s + 10000000) for o, s, *_ in lines}
     vertices = {v for e in edges for v in e}
     near = {v: {w for e in edges if v in e for w in e} for v in vertices}
-    betti = QUERIES["agg10_betti_orders_whole"](spark, str(tmp_path)).first()
+    betti = QUERIES["agg10_betti_loops"](spark, str(tmp_path)).first()
     assert (betti.vertices, betti.edges) == (len(vertices), len(edges))
     assert betti.deg3 == sum(len(n) - 1 >= 3 for n in near.values())
     assert betti.components == len(set(roots(vertices, near).values()))
     number = {v: k for k, v in enumerate(sorted(v for v in vertices if v % 3))}
-    assert sorted(run("flt14_subgraph_whole")) == sorted((number[a], number[b]) for a, b in edges if a in number and b in number)
+    assert sorted(run("flt14_subgraph")) == sorted((number[a], number[b]) for a, b in edges if a in number and b in number)
     xy = {k: np.array(e, np.float32).astype(float) for k, e, _ in points}
     near = {k: {m for m in xy if ((xy[k] - xy[m]) ** 2).sum() <= 0.0001} for k in xy}
     leader = roots(xy, near)
-    assert dict(run("ded02_eps_clusters_whole")) == leader
+    assert dict(run("ded02_eps_clusters")) == leader
     first = {}
     for k in sorted(xy, key=lambda k: (*xy[k], k)):
         first.setdefault(leader[k], k)
-    assert sorted(k for (k,) in run("ded01_eps_distinct_whole")) == sorted(first.values())
+    assert sorted(k for (k,) in run("ded01_eps_distinct")) == sorted(first.values())
     spans = {(int(q), round(d * 100)) for _, _, q, d, _ in lines}
-    assert sorted(run("jn01_neighbour_spans_whole")) == sorted((*a, *b) for a in spans for b in spans if max(abs(a[0] - b[0]), abs(a[1] - b[1])) <= 1)
+    assert sorted(run("jn01_neighbour_spans")) == sorted((*a, *b) for a in spans for b in spans if max(abs(a[0] - b[0]), abs(a[1] - b[1])) <= 1)

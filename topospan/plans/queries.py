@@ -171,12 +171,12 @@ def ext04(spark, sf_dir):
 
 
 # Graph operators on orders
-_EDGES = "(SELECT DISTINCT o_custkey AS src, 10000000 + l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 7 = 0 AND l_suppkey % 5 = 0)"
+_EDGES = "(SELECT DISTINCT o_custkey AS src, 10000000 + l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
 
 
 def order_edges(spark, sf_dir) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_custkey % 7 = 0").select("o_orderkey", "o_custkey")
-    l = table(spark, sf_dir, "lineitem").where("l_suppkey % 5 = 0").select("l_orderkey", "l_suppkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     return o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 10000000).alias("dst")).distinct()
 
 
@@ -187,27 +187,13 @@ def agg10(spark, sf_dir):
     return graph.betti(v, e).select("vertices", "edges", "deg3")
 
 
-# The same over whole tables. The SQL of agg10_betti_orders, flt14_subgraph, ded01, ded02 and jn01 fixes id subsets; these have none.
-def all_order_edges(spark, sf_dir) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    return o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 10000000).alias("dst")).distinct()
-
-
-@query("agg10_betti_orders_whole")
-def agg10_whole(spark, sf_dir):
-    e = written(all_order_edges(spark, sf_dir), "edges").df
+@query("agg10_betti_loops")
+def agg10_loops(spark, sf_dir):
+    e = written(order_edges(spark, sf_dir), "edges").df
     v = e.select(F.col("src").alias("vid")).union(e.select("dst")).distinct()
     return graph.betti(v, e)
 
 
-@query("flt14_subgraph_whole")
-def flt14_whole(spark, sf_dir):
-    e = written(all_order_edges(spark, sf_dir), "edges").df
-    v = e.select(F.col("src").alias("vid")).union(e.select("dst")).distinct()
-    return graph.induced(v, e, F.col("vid") % 3 != 0)[1]
-
-
 @query("agg10_components_regions", "SELECT n_nationkey + CAST(0 AS BIGINT) AS node, first_value(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + CAST(0 AS BIGINT) AS root FROM nation")
 def agg10_regions(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_regionkey")
@@ -219,8 +205,15 @@ def agg10_regions(spark, sf_dir):
 _P = "(SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(label AS BIGINT) AS type FROM embeddings WHERE vec_id % 2 = {k})"
 
 
+_ALL = _P.partition(" WHERE ")[0] + ")"
+
+
 def half(spark, sf_dir, k) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 2 == k)
+    return all_points(spark, sf_dir).where(F.col("id") % 2 == k)
+
+
+def all_points(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), F.col("label").cast("long").alias("type"))
 
 
@@ -247,14 +240,14 @@ def jn03(spark, sf_dir):
     return spatial.nearest(half(spark, sf_dir, 0), half(spark, sf_dir, 1), 0.02).select("a", "b")
 
 
-@query("ded01_eps_distinct", f"WITH RECURSIVE p AS {_P.format(k=0)}, n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.0001), reach(a, b) AS (SELECT a, b FROM n UNION SELECT reach.a, n.b FROM reach JOIN n ON n.a = reach.b), g AS (SELECT a AS id, min(b) AS leader FROM reach GROUP BY a), k AS (SELECT p.id, row_number() OVER (PARTITION BY leader ORDER BY x, y, p.id) AS k FROM p JOIN g ON p.id = g.id) SELECT id FROM k WHERE k = 1")
+@query("ded01_eps_distinct", f"WITH RECURSIVE p AS {_ALL}, n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.0001), reach(a, b) AS (SELECT a, b FROM n UNION SELECT reach.a, n.b FROM reach JOIN n ON n.a = reach.b), g AS (SELECT a AS id, min(b) AS leader FROM reach GROUP BY a), k AS (SELECT p.id, row_number() OVER (PARTITION BY leader ORDER BY x, y, p.id) AS k FROM p JOIN g ON p.id = g.id) SELECT id FROM k WHERE k = 1")
 def ded01(spark, sf_dir):
-    return spatial.eps_distinct(half(spark, sf_dir, 0), 0.01).select("id")
+    return spatial.eps_distinct(all_points(spark, sf_dir), 0.01).select("id")
 
 
-@query("ded02_eps_clusters", f"WITH RECURSIVE p AS {_P.format(k=1)}, n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.0001), reach(a, b) AS (SELECT a, b FROM n UNION SELECT reach.a, n.b FROM reach JOIN n ON n.a = reach.b) SELECT a AS id, min(b) AS leader FROM reach GROUP BY a")
+@query("ded02_eps_clusters", f"WITH RECURSIVE p AS {_ALL}, n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.0001), reach(a, b) AS (SELECT a, b FROM n UNION SELECT reach.a, n.b FROM reach JOIN n ON n.a = reach.b) SELECT a AS id, min(b) AS leader FROM reach GROUP BY a")
 def ded02(spark, sf_dir):
-    return spatial.eps_clusters(half(spark, sf_dir, 1), 0.01)
+    return spatial.eps_clusters(all_points(spark, sf_dir), 0.01)
 
 
 @query("jn02_assign_span", "SELECT p_partkey, least(CAST(floor((p_size - 1) / 49e0 * 7) AS BIGINT), 6) + 3 AS si FROM part")
@@ -263,29 +256,8 @@ def jn02(spark, sf_dir):
     return spatial.assign_span(p, [7], [1.0], [50.0], [3], ["x"]).select("p_partkey", "si")
 
 
-@query("jn01_neighbour_spans", "WITH s AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS si, CAST(round(l_discount * 100) AS BIGINT) AS sj FROM lineitem WHERE l_tax = 0.08 AND l_quantity < 10) SELECT a.si, a.sj, b.si AS ni, b.sj AS nj FROM s a JOIN s b ON abs(a.si - b.si) <= 1 AND abs(a.sj - b.sj) <= 1")
+@query("jn01_neighbour_spans", "WITH s AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS si, CAST(round(l_discount * 100) AS BIGINT) AS sj FROM lineitem) SELECT a.si, a.sj, b.si AS ni, b.sj AS nj FROM s a JOIN s b ON abs(a.si - b.si) <= 1 AND abs(a.sj - b.sj) <= 1")
 def jn01(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_tax = 0.08 AND l_quantity < 10").select(F.col("l_quantity").cast("long").alias("si"), F.round(F.col("l_discount") * 100).cast("long").alias("sj"))
-    return spatial.neighbour_spans(l).select("si", "sj", "ni", "nj")
-
-
-def all_points(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-
-
-@query("ded01_eps_distinct_whole")
-def ded01_whole(spark, sf_dir):
-    return spatial.eps_distinct(all_points(spark, sf_dir), 0.01).select("id")
-
-
-@query("ded02_eps_clusters_whole")
-def ded02_whole(spark, sf_dir):
-    return spatial.eps_clusters(all_points(spark, sf_dir), 0.01)
-
-
-@query("jn01_neighbour_spans_whole")
-def jn01_whole(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("si"), F.round(F.col("l_discount") * 100).cast("long").alias("sj"))
     return spatial.neighbour_spans(l).select("si", "sj", "ni", "nj")
 

@@ -12,12 +12,14 @@ SMALL_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set; a temporary folder only where it isn't, as in tests."""
+    """spark.checkpoint.dir where it is set; a temporary folder only where it isn't, on a local master, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             folder = own.get()
+        elif spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="topospan-")
             spark.sparkContext.setCheckpointDir(folder)

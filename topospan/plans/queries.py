@@ -444,11 +444,14 @@ def snk09(spark, sf_dir):
     return sinks.triangles(7, 6, spark)
 
 
-@query("snk12_time_slices", "SELECT CAST(extract(hour FROM ts) AS BIGINT) AS i, CAST(user_id % 4 AS BIGINT) AS j, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{{}}') AS t_{k}".replace("{}", e) for k, e in enumerate(("click", "view"))) + " FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2")
+_KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("snk12_time_slices", "SELECT CAST(extract(hour FROM ts) AS BIGINT) AS i, CAST(user_id % 4 AS BIGINT) AS j, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{e}') AS t_{k}" for k, e in enumerate(_KINDS)) + " FROM events GROUP BY 1, 2")
 def snk12(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view")).withColumn("t", F.when(F.col("event_type") == "click", 0).otherwise(1))
+    e = table(spark, sf_dir, "events").withColumn("t", F.array_position(F.array(*map(F.lit, _KINDS)), F.col("event_type")) - 1)
     s = e.groupBy(F.hour("ts").cast("long").alias("i"), (F.col("user_id") % 4).alias("j"), "t").agg(F.count("*").alias("value"))
-    return sinks.time_slices(s, [0, 1]).na.fill(0)
+    return sinks.time_slices(s, list(range(len(_KINDS)))).na.fill(0)
 
 
 @query("ded06_merge_vertices", "WITH p AS (SELECT p_partkey AS vid, p_retailprice AS x, CAST(p_size AS DOUBLE) AS y FROM part), m AS (SELECT vid, min(vid) OVER (PARTITION BY CAST(round(x / 50) AS BIGINT), CAST(round(y / 50) AS BIGINT)) AS n FROM p) SELECT DISTINCT n AS vid FROM m")

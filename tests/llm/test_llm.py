@@ -574,3 +574,23 @@ def test_stages_pass_columns_of_any_name(spark):
     assert safe.columns == df.columns
     assert {(r.score, r.base, r.spans, r.first) for r in safe.collect()} == {(2.5, "b", "a", k) for k in range(10)}
     assert stage["packing"](spark, df, "").count() == 10
+
+
+def test_shingle_sets_are_those_of_split_texts():
+    from topospan.llm.lsh_forest import WORDS, shingle_sets
+
+    rng = random.Random(1)
+    pieces = ["a", "b", "é", "中", "İ", "ab", "Ab", " ", "  ", "\n", "\x1c", "　", "x" * 257, "q" * 256, "y" * 300_000]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(40))) for _ in range(150)] + ["", " ", "\0", "a b c d", "a b c d e", "A  b\tc d e"]
+
+    def brute(text):
+        own = text.lower().split()
+        n = min(WORDS, len(own))
+        return {tuple(own[k : k + n]) for k in range(len(own) - n + 1)} if n else set()
+
+    want, got = [brute(t) for t in texts], shingle_sets(texts)
+    assert all(len(w) == len(g) for w, g in zip(want, got, strict=True))
+    assert all(np.array_equal(shingle_sets([t])[0], g) for t, g in zip(texts, got, strict=True))
+    for i in range(0, len(texts), 5):
+        for j in range(len(texts)):
+            assert len(want[i] & want[j]) == len(np.intersect1d(got[i], got[j]))

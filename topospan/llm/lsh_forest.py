@@ -35,12 +35,11 @@ columns of any name pass `one_of_each`.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +56,11 @@ TILE = 2048
 SMALL_BYTES = 16 << 20
 _RNG = np.random.default_rng(20240501)
 _STEP = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Random numbers of bytes, powers of an odd base and of its inverse: the hash of words of up to LONG bytes, in blocks of BLOCK bytes.
+LONG, BLOCK = 256, 1 << 18
+_BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWER, _BACK = (np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(BLOCK + LONG - 1, x, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 _MUL = _RNG.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 #: Bits of each level of a path.
@@ -94,45 +98,76 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word of the lower-case texts, words of each text), all texts at once.
+
+    A word's hash is the sum of random numbers of its bytes times powers of an odd base, mixed with its
+    length: a difference of a running sum, brought to a common power. Words over LONG bytes are hashed by themselves.
+    """
+    lists = pc.utf8_split_whitespace(pa.array([x.lower() for x in texts], pa.large_string()))
+    ends = np.frombuffer(lists.values.buffers()[1], np.int64, len(lists.values) + 1)
+    data = np.frombuffer(lists.values.buffers()[2] or b"", np.uint8)
+    full = np.diff(ends) > 0  # white space at either end leaves an empty word
+    n = np.diff(np.concatenate(([0], np.cumsum(full)))[lists.offsets.to_numpy()])
+    start, end = ends[:-1][full], ends[1:][full]
+    h = np.empty(len(start), np.uint64)
+    for at in range(0, int(ends[-1]), BLOCK):
+        own = slice(*np.searchsorted(start, (at, at + BLOCK)))
+        part = data[at : min(at + BLOCK + LONG, int(ends[-1]))]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * _POWER[: len(part)], out=total[1:])
+        a = start[own] - at
+        h[own] = (total[np.minimum(end[own] - at, len(part))] - total[a]) * _BACK[a]
+    size = end - start
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes())
+    return _mix(h + size.astype(np.uint64) * _STEP[15]), n
+
+
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """Sorted 64-bit hashes of each text's shingles; none for a text without words."""
-    number: defaultdict[str, int] = defaultdict(count().__next__)
-    codes = []
-    for x in texts:
-        own = x.lower().split()
-        codes.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in number), np.uint64, len(number))
-    out = []
-    for c in codes:
-        h = hashes[c]
-        n = min(words, len(h))
-        if not n:
+    if not texts:
+        return []
+    h, sizes = _word_hashes(texts)
+    h = _mix(h)
+    sums = h * _STEP[0]
+    for k in range(1, words):
+        sums[: max(len(h) - k, 0)] += h[k:] * _STEP[k]
+    sums = _mix(sums + np.uint64(words))
+    out, at = [], 0
+    for n in sizes.tolist():
+        if n >= words:
+            own = np.sort(sums[at : at + n - words + 1])
+            new = np.empty(len(own), bool)
+            new[0] = True
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own[new])
+        elif n:
+            out.append(_mix((h[at : at + n] * _STEP[:n]).sum(keepdims=True) + np.uint64(n)))
+        else:
             out.append(np.empty(0, np.uint64))
-            continue
-        s = np.zeros(len(h) - n + 1, np.uint64)
-        for k in range(n):
-            s += _mix(h[k : len(h) - n + 1 + k]) * _STEP[k]
-        out.append(np.unique(_mix(s + np.uint64(n))))
+        at += n
     return out
 
 
-def paths(shingles: np.ndarray, trees: int = TREES) -> np.ndarray:
-    """The path of a set in each tree."""
+def paths(sets: list[np.ndarray], trees: int = TREES) -> np.ndarray:
+    """The path of each set in each tree, a row per set; of no meaning where the set is empty."""
     n = trees * DEPTH
-    least = np.full(n, 2**32 - 1, np.uint32)
-    low = (shingles >> np.uint64(11)).astype(np.uint32)
-    buffer = np.empty((min(256, len(low)), n), np.uint32)  # small enough for a core's cache
-    for at in range(0, len(low), 256):
-        x = low[at : at + 256]
-        hashed = buffer[: len(x)]
-        np.multiply(x[:, None], _MUL[:n], out=hashed)
-        hashed += _ADD[:n]
-        np.minimum(least, hashed.min(axis=0), out=least)
-    own = np.zeros(trees, np.uint64)
+    least = np.full((len(sets), n), 2**32 - 1, np.uint32)
+    buffer = np.empty((256, n), np.uint32)  # small enough for a core's cache
+    for own, shingles in zip(least, sets, strict=True):
+        low = (shingles >> np.uint64(11)).astype(np.uint32)
+        for at in range(0, len(low), 256):
+            x = low[at : at + 256]
+            hashed = buffer[: len(x)]
+            np.multiply(x[:, None], _MUL[:n], out=hashed)
+            hashed += _ADD[:n]
+            np.minimum(own, hashed.min(axis=0), out=own)
+    out = np.zeros((len(sets), trees), np.uint64)
     for k, bits in enumerate(LEVELS):
-        level = (least[k::DEPTH] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
-        own |= level.astype(np.uint64) << np.uint64(SHIFTS[k + 1])
-    return own.view(np.int64)
+        level = (least[:, k::DEPTH] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+        out |= level.astype(np.uint64) << np.uint64(SHIFTS[k + 1])
+    return out.view(np.int64)
 
 
 def _parts(texts: pa.Array, most_chars: int = 2_000_000):
@@ -159,8 +194,10 @@ def signed(df: DataFrame, words: int, trees: int) -> DataFrame:
                 marks = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 a, b = ([None if m is None else int.from_bytes(m[k : k + 8], "little", signed=True) for m in marks] for k in (0, 8))
                 tokens = [len(x.encode("utf-8", "surrogatepass").split()) for x in texts]
+                ends = np.arange(len(sets) + 1, dtype=np.int32) * trees
+                keys = pa.ListArray.from_arrays(ends, paths(sets, trees).ravel(), mask=pa.array([m is None for m in marks]))
                 own = [batch.column(k).slice(start, end - start) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([paths(s, trees) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.array(tokens, pa.int64())], names=["doc_id", "row", "a", "b", "keys", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(a, pa.int64()), pa.array(b, pa.int64()), keys, pa.array(tokens, pa.int64())], names=["doc_id", "row", "a", "b", "keys", "n_tokens"])
 
     return df.mapInArrow(run, schema)
 

@@ -132,8 +132,11 @@ def shingles(t):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-@pytest.mark.parametrize("tile", [2048, 7])
-def test_similar_texts_against_brute_force(spark, docs, empty, tile):
+@pytest.mark.parametrize(("tile", "hot"), [(2048, False), (7, False), (7, True)])
+def test_similar_texts_against_brute_force(spark, docs, empty, tile, hot, monkeypatch):
+    if hot:  # nothing is small, and every node of more than one tie is hot
+        monkeypatch.setattr(lsh_forest, "HOT", 1)
+        monkeypatch.setattr(lsh_forest, "HOT_SHARE", 10**9)
     rng = random.Random(9)
     base = [words(rng, 80).split() for _ in range(3)]
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -161,7 +164,7 @@ def test_similar_texts_against_brute_force(spark, docs, empty, tile):
                 links[a] += 1
                 links[b] += 1
                 parent[max(root(a), root(b))] = min(root(a), root(b))
-    got = lsh_forest.similar(df, tile=tile).collect()
+    got = lsh_forest.similar(df, tile=tile, small_bytes=0 if hot else lsh_forest.SMALL_BYTES).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:

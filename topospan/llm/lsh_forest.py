@@ -358,19 +358,33 @@ def _verified(own: pd.DataFrame, words: int, similarity_parts: tuple[int, int])
     return [(int(d), int(docs[k]), int(n)) for d, k, n in zip(docs, label, links, strict=True)]
 
 
-def verify(members: DataFrame, met: DataFrame, texts: DataFrame, words: int, similarity_parts: tuple[int, int], tile: int, small_bytes: int) -> DataFrame:
-    """(doc, leader, links) over tiles; members: (doc, root), met: (tree, doc, node), texts: (doc_id, text)."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    bins = max(1, -(-members.count() // tile))
-    whole = members.join(sizes.where(F.col("n") <= tile).select("root"), "root").select("doc", "root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), F.pmod(F.xxhash64("root"), F.lit(bins)).alias("bin"))
+def _blocks(members: DataFrame, sizes: DataFrame, met: DataFrame, tile: int, small_bytes: int) -> DataFrame:
+    """(doc, root, i, j, side, bin): sets of the components of more than `tile`, dealt to the pairs of blocks that met in a node.
+
+    The blocks of a node are sent to its members by a broadcast where all are few or the node is hot, so that none is one task's.
+    """
     blocks = F.ceil(F.col("n") / tile).cast("int")
     large = members.join(sizes.where(F.col("n") > tile), "root").withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).select("doc", "root", "own")
     places = met.union(met.select("tree", F.col("node").alias("doc"), "node").distinct()).join(large, "doc")
-    others = places.groupBy("tree", "node").agg(F.collect_set("own").alias("others"))  # at most n / tile numbers
+    others = written(places.groupBy("tree", "node").agg(F.collect_set("own").alias("others"), F.count("*").alias("n")), "near-others")  # at most n / tile numbers each
+    sent, key = others.df.select("tree", "node", "others"), ["tree", "node"]
+    if others.size() <= small_bytes:
+        both = places.join(F.broadcast(sent), key)
+    else:
+        cut = max(HOT, 2 * others.df.agg(F.sum("n")).first()[0] // HOT_SHARE)
+        hot = others.df.where(F.col("n") > cut).select(*sent.columns)  # at most HOT_SHARE nodes
+        both = places.join(F.broadcast(hot), key).union(places.join(F.broadcast(hot.select(*key)), key, "left_anti").join(others.df.where(F.col("n") <= cut).select(*sent.columns), key).select("tree", "node", "doc", "root", "own", "others"))
     own, other = F.col("own"), F.col("other")
-    dealt = places.join(others, ["tree", "node"]).select("doc", "root", "own", F.explode("others").alias("other")).distinct()
-    dealt = dealt.select("doc", "root", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), F.when(own == other, 2).when(own < other, 0).otherwise(1).alias("side"), F.xxhash64("root", F.least(own, other), F.greatest(own, other)).alias("bin"))
-    dealt = written(whole.union(dealt), "near-tiles")
+    pairs = both.select("doc", "root", "own", F.explode("others").alias("other")).distinct()
+    return pairs.select("doc", "root", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), F.when(own == other, 2).when(own < other, 0).otherwise(1).alias("side"), F.xxhash64("root", F.least(own, other), F.greatest(own, other)).alias("bin"))
+
+
+def verify(members: DataFrame, met: DataFrame, texts: DataFrame, words: int, similarity_parts: tuple[int, int], tile: int, small_bytes: int) -> DataFrame:
+    """(doc, leader, links) over tiles; members: (doc, root), met: (tree, doc, node), texts: (doc_id, text)."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
+    total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    whole = members.join(sizes.where(F.col("n") <= tile).select("root"), "root").select("doc", "root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), F.pmod(F.xxhash64("root"), F.lit(max(1, -(-total // tile)))).alias("bin"))
+    dealt = written(whole.union(_blocks(members, sizes, met, tile, small_bytes)) if most > tile else whole, "near-tiles")
     small = F.broadcast(dealt.df) if dealt.size() <= small_bytes else dealt.df
     rows = texts.select(F.col("doc_id").alias("doc"), "text").join(small, "doc")
 

@@ -138,3 +138,32 @@ def test_whole_table_queries_against_brute_force(spark, tmp_path):
     assert sorted(k for (k,) in run("ded01_eps_distinct")) == sorted(first.values())
     spans = {(int(q), round(d * 100)) for _, _, q, d, _ in lines}
     assert sorted(run("jn01_neighbour_spans")) == sorted((*a, *b) for a in spans for b in spans if max(abs(a[0] - b[0]), abs(a[1] - b[1])) <= 1)
+
+
+def test_models_and_roots_round_trip(spark, tmp_path):
+    from topospan.functions.spline import encode_adaptive
+
+    field = grids.rectilinear(spark, "gaussian_mixture", (25, 24))
+    axes, controls = encode_adaptive(field, (25, 24), [3, 3], [-1.0, -0.8], [1.0, 2.3], 1e-4, most_rounds=3)
+    assert all(len(k) - p - 1 == n for k, p, n in zip(axes.knots, axes.degree, axes.controls, strict=True))
+    sinks.model(controls, axes, str(tmp_path / "model"))
+    back, c = files.model(spark, str(tmp_path / "model"))
+    assert back.degree == axes.degree and back.controls == axes.controls
+    assert all(np.array_equal(a, b) for a, b in zip(back.knots, axes.knots, strict=True))
+    assert sorted(c.collect()) == sorted(controls.collect())
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.001, 0.0), (3, 1.0, 1.0)], "id long, x double, y double")
+    sinks.roots(points, str(tmp_path / "roots"), eps=0.01, value=2.5)
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "roots"), header=True, inferSchema=True).collect())) == [(0.0, 0.0, 2.5), (1.0, 1.0, 2.5)]
+    assert sinks.snapped_box([0.0], [10.0], [11], [(0.22, 0.78)]) == [(2.0, 8.0)]
+
+
+def test_zoom_interpolates_and_keeps_ends(spark):
+    from topospan.functions.spline import zoom_weights, zoomed
+
+    assert np.allclose(zoom_weights(9, 1.0), np.eye(9))
+    v = np.random.default_rng(3).random((9, 7))
+    rows = spark.createDataFrame([(i, j, float(v[i, j])) for i in range(9) for j in range(7)], "i long, j long, value double")
+    got = {(r.i, r.j): r.value for r in zoomed(rows, (9, 7), 5 / 9).collect()}
+    assert len(got) == 5 * 4
+    assert abs(got[0, 0] - v[0, 0]) < 1e-9 and abs(got[4, 3] - v[8, 6]) < 1e-9
+    assert all(abs(got[i, j] - v[2 * i, 2 * j]) < 1e-9 for i in range(5) for j in range(4))

@@ -14,11 +14,12 @@ EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 LINK = [(1, 0), (0, 1), (-1, 1), (-1, 0), (0, -1), (1, -1)]
 
 
-def _spread(field: DataFrame, offsets: list[tuple[int, int]], columns: list[str]) -> DataFrame:
+def _spread(field: DataFrame, offsets: list[tuple[int, int]], columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Each vertex's values, sent to the vertices that have it at offset number o: one shuffle, with partial aggregation."""
     at = F.array(*(F.struct(F.lit(k).alias("o"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate([(0, 0), *offsets])))
-    sent = field.select("i", "j", *columns, F.explode(at).alias("t")).select((F.col("i") - F.col("t.a")).alias("i"), (F.col("j") - F.col("t.b")).alias("j"), F.col("t.o").alias("o"), *columns)
-    return sent.groupBy("i", "j").agg(*(F.max(F.when(F.col("o") == k, F.col(c))).alias(f"{c}_{k}") for k in range(len(offsets) + 1) for c in columns))
+    by = by or []
+    sent = field.select(*by, "i", "j", *columns, F.explode(at).alias("__t")).select(*by, (F.col("i") - F.col("__t.a")).alias("i"), (F.col("j") - F.col("__t.b")).alias("j"), F.col("__t.o").alias("o"), *columns)
+    return sent.groupBy(*by, "i", "j").agg(*(F.max(F.when(F.col("o") == k, F.col(c))).alias(f"{c}_{k}") for k in range(len(offsets) + 1) for c in columns))
 
 
 def discrete_critical_points(field: DataFrame) -> DataFrame:
@@ -38,15 +39,15 @@ def _kind(ring: list[Column], own: Column) -> Column:
     return F.when(every([v < own for v in ring]), "max").when(every(up), "min").when(changes >= 4, "saddle")
 
 
-def pl_critical_points(field: DataFrame) -> DataFrame:
+def pl_critical_points(field: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(i, j, type): interior vertices by the changes of sign in their triangulated link (none: extremum, 4 or more: saddle).
 
-    Equal values count as higher where the neighbour stands later in the grid.
+    `by` names the columns of a slice (a time step): all slices are done at once, each for itself. Equal values count as higher where the neighbour stands later in the grid.
     """
-    wide = _spread(field, LINK, ["value"]).where(" AND ".join(f"value_{k} IS NOT NULL" for k in range(7)))
+    wide = _spread(field, LINK, ["value"], by).where(" AND ".join(f"value_{k} IS NOT NULL" for k in range(7)))
     up = [(F.col(f"value_{k}") > F.col("value_0")) | ((F.col(f"value_{k}") == F.col("value_0")) & F.lit(b > 0 or (b == 0 and a > 0))) for k, (a, b) in enumerate(LINK, 1)]
     changes = sum(F.when(a != b, 1).otherwise(0) for a, b in zip(up, [*up[1:], up[0]], strict=True))
-    return wide.select("i", "j", F.when((changes == 0) & up[0], "min").when(changes == 0, "max").when(changes >= 4, "saddle").alias("type")).where("type IS NOT NULL")
+    return wide.select(*(by or []), "i", "j", F.when((changes == 0) & up[0], "min").when(changes == 0, "max").when(changes >= 4, "saddle").alias("type")).where("type IS NOT NULL")
 
 
 def cells(field: DataFrame, columns: list[str]) -> DataFrame:

@@ -22,6 +22,7 @@ def persistence_counts(pairs: DataFrame, levels: int, most: float) -> DataFrame:
     step = most / (levels - 1)
     spark = pairs.sparkSession
     level = spark.range(levels).select(F.col("id").alias("k"), (F.col("id") * most / (levels - 1)).alias("level"))
+    pairs = pairs.where("persistence > 0")  # others count for no level
     low = F.least(F.floor(F.col("persistence") / step), F.lit(levels - 1)).cast("long")
     at = F.when(F.col("persistence") > low * most / (levels - 1), low).otherwise(low - 1)
     counts = pairs.groupBy(at.alias("k")).agg(F.count("*").alias("c"))
@@ -29,6 +30,12 @@ def persistence_counts(pairs: DataFrame, levels: int, most: float) -> DataFrame:
     return level.join(F.broadcast(counts), "k", "left").withColumn("n", F.sum(F.coalesce("c", F.lit(0))).over(above)).select("level", "n")
 
 
+def root_check(points: DataFrame, columns: list[str], eps: float) -> DataFrame:
+    """One row: points, those whose residual (the norm of the columns) exceeds eps, and the largest residual."""
+    norm = F.sqrt(sum(F.col(c) * F.col(c) for c in columns))
+    return points.agg(F.count("*").alias("n"), F.count(F.when(norm > eps, 1)).alias("not_roots"), F.max(norm).alias("largest"))
+
+
 def function_error(points: DataFrame, value: str = "value", truth: str = "truth") -> DataFrame:
     """One row: least, largest and mean |value - truth|."""
     e = F.abs(F.col(value) - F.col(truth))

@@ -18,12 +18,12 @@ from ..datasets import DATASETS, ranges, upsampling
 from ..functions import basis as B
 from ..functions import radon
 from ..functions.signals import SIGNALS, ackley_gradient_sql, line_integral_sql, sinc_derivatives_sql
-from ..functions.spline import Axes, blend, blocks, control_range, decode, derivative_net, encode, encode_adaptive, error_norms, net_coordinates, owner_of_max_error, parameters, range_error, resample, sampled_ridge_function, sampled_steepness
+from ..functions.spline import Axes, blend, blocks, control_range, decode, derivative_net, encode, encode_adaptive, error_norms, net_coordinates, owner_of_max_error, parameters, range_error, resample, sampled_ridge_function, sampled_steepness, zoom_weights, zoomed
 from ..operators import contour, graph, prune, score, spatial, trace, track
 from ..operators.solve import boundary_roots, critical_points, degenerate_points, jacobi_critical_points, level_roots, morse_index_2d
 from ..operators.tables import written
 from ..sources import files, grids, sinks
-from .sql_text import betti_sql, crossings_sql, grid_sql, jacobi_sql, neighbours_sql
+from .sql_text import betti_sql, crossings_sql, grid_sql, jacobi_sql, neighbours_sql, spread_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -627,3 +627,43 @@ def spl18(spark, sf_dir):
 @query("agg06_average_norm", "SELECT round(avg(sqrt(l_discount * l_discount + l_tax * l_tax)), 6) AS average_norm FROM lineitem")
 def agg06(spark, sf_dir):
     return score.average_norm(table(spark, sf_dir, "lineitem"), ["l_discount", "l_tax"]).select(F.round("average_norm", 6).alias("average_norm"))
+
+
+# Slices: the mean price by quantity and discount, a slice a return flag (kept apart by 1000 in the SQL).
+_SLICES = "(SELECT ascii(l_returnflag) * 1000 + CAST(l_quantity AS BIGINT) AS i, CAST(round(l_discount * 100) AS BIGINT) AS j, round(avg(CAST(l_extendedprice AS DECIMAL(18,4))), 2) AS value FROM lineitem GROUP BY 1, 2)"
+_HIGHER = [f"(value_{k} > value_0 OR (value_{k} = value_0 AND {b > 0 or (b == 0 and a > 0)}))" for k, (a, b) in enumerate(contour.LINK, 1)]
+_TURNS = " + ".join(f"CASE WHEN {a} <> {b} THEN 1 ELSE 0 END" for a, b in zip(_HIGHER, [*_HIGHER[1:], _HIGHER[0]], strict=True))
+
+
+@query("ext02_slice_critical_points", f"WITH {spread_sql(_SLICES, contour.LINK, ['value'], 'w')}, q AS (SELECT CAST(i // 1000 AS BIGINT) AS t, CAST(i % 1000 AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CASE WHEN {_TURNS} = 0 AND {_HIGHER[0]} THEN 'min' WHEN {_TURNS} = 0 THEN 'max' WHEN {_TURNS} >= 4 THEN 'saddle' END AS type FROM w) SELECT * FROM q WHERE type IS NOT NULL")
+def ext02(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select(F.ascii("l_returnflag").cast("long").alias("t"), F.col("l_quantity").cast("long").alias("i"), F.round(F.col("l_discount") * 100).cast("long").alias("j"), F.col("l_extendedprice").cast("decimal(18,4)").alias("v"))
+    return contour.pl_critical_points(l.groupBy("t", "i", "j").agg(F.round(F.avg("v").cast("double"), 2).alias("value")), ["t"])
+
+
+def _weights_sql(n: int) -> str:
+    w = zoom_weights(n, 0.5)
+    return "(VALUES " + ", ".join(f"({a}, {b}, {float(w[a, b])!r}::DOUBLE)" for a in range(w.shape[0]) for b in range(n)) + ")"
+
+
+@query("prj12_downsample", f"SELECT CAST(a.p AS BIGINT) AS i, CAST(b.p AS BIGINT) AS j, round(sum(a.w * b.w * value), 4) + 0.0 AS value FROM {_FIELD.format(c='l_extendedprice')} JOIN {_weights_sql(50)} a(p, q, w) ON a.q = i JOIN {_weights_sql(11)} b(p, q, w) ON b.q = j GROUP BY 1, 2")
+def prj12(spark, sf_dir):
+    return zoomed(lineitem_field(spark, sf_dir), (50, 11)).select("i", "j", r("value", 4).alias("value"))
+
+
+_CUT = {"x": (10.0, 40.0), "y": (1000.0, 1600.0)}
+_IN = {c: f"CASE WHEN {c}1 = {c}0 THEN 0 ELSE least(({lo}e0 - {c}0) / ({c}1 - {c}0), ({hi}e0 - {c}0) / ({c}1 - {c}0)) END" for c, (lo, hi) in _CUT.items()}
+_OUT = {c: f"CASE WHEN {c}1 = {c}0 THEN 1 ELSE greatest(({lo}e0 - {c}0) / ({c}1 - {c}0), ({hi}e0 - {c}0) / ({c}1 - {c}0)) END" for c, (lo, hi) in _CUT.items()}
+_PART = "(SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x0, p_retailprice AS y0, CAST(51 - p_size AS DOUBLE) AS x1, p_retailprice + p_size * 10 AS y1 FROM part)"
+
+
+@query("flt16_clipped_segments", f"SELECT id, round(x0 + a * (x1 - x0), 4) + 0.0 AS x0, round(y0 + a * (y1 - y0), 4) + 0.0 AS y0, round(x0 + b * (x1 - x0), 4) + 0.0 AS x1, round(y0 + b * (y1 - y0), 4) + 0.0 AS y1 FROM (SELECT *, greatest(0, {_IN['x']}, {_IN['y']}) AS a, least(1, {_OUT['x']}, {_OUT['y']}) AS b FROM {_PART}) WHERE a <= b")
+def flt16(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x0"), F.col("p_retailprice").alias("y0"), (51 - F.col("p_size")).cast("double").alias("x1"), (F.col("p_retailprice") + F.col("p_size") * 10).alias("y1"))
+    planes = [((10, 1000), (-1, 0)), ((10, 1000), (0, -1)), ((40, 1600), (0, 1)), ((40, 1600), (1, 0))]
+    return files.clipped(p, planes).select("id", *(r(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query("utl11_root_check", "SELECT count(*) AS n, count(*) FILTER (WHERE l_discount * l_discount + l_tax * l_tax > 0.01015e0) AS not_roots, round(max(sqrt(l_discount * l_discount + l_tax * l_tax)), 6) AS largest FROM lineitem")
+def utl11(spark, sf_dir):
+    return score.root_check(table(spark, sf_dir, "lineitem"), ["l_discount", "l_tax"], math.sqrt(0.01015)).withColumn("largest", r("largest"))

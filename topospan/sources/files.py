@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.spline import Axes
+
 AXES, INDEX = ("x", "y", "z", "t"), ("i", "j", "k", "m")
 
 
@@ -141,8 +143,16 @@ def csv_points(spark: SparkSession, path: str, dims: int = 2) -> DataFrame:
 
 def baseline_points(spark: SparkSession, path: str) -> DataFrame:
     """Discrete critical points of another tool, without those on the boundary or of a type over 3."""
-    rows = spark.read.csv(path, header=True, inferSchema=True)
-    return rows.where((F.col("CriticalType") < 4) & (F.col("IsOnBoundary") == 0)).select(F.col("CriticalType").alias("type"), F.col("PositionX").alias("x"), F.col("PositionY").alias("y"), F.col("PositionZ").alias("z"))
+    rows = spark.read.csv(path, header=True)
+    places = (F.col(f"Position{c}").cast("double").alias(c.lower()) for c in "XYZ")
+    return rows.where((F.col("CriticalType").cast("int") < 4) & (F.col("IsOnBoundary").cast("int") == 0)).select(F.col("CriticalType").cast("int").alias("type"), *places)
+
+
+def model(spark: SparkSession, path: str) -> tuple[Axes, DataFrame]:
+    """The axes and the control points that `sinks.model` wrote."""
+    row = spark.read.json(f"{path}/axes").first()
+    axes = Axes(list(row.degree), list(row.controls), list(row.mins), list(row.maxs), [np.array(k) for k in row.knots])
+    return axes, spark.read.parquet(f"{path}/controls")
 
 
 def fill_missing(field: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -175,6 +185,20 @@ def box(points: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
     return points
 
 
+def clipped(segments: DataFrame, planes: Sequence[tuple[Sequence[float], Sequence[float]]]) -> DataFrame:
+    """Segments (x0, y0, x1, y1, ...) cut by planes (origin, normal): what lies on the side that each normal points away from."""
+    first, last, out = [F.lit(0.0)], [F.lit(1.0)], F.lit(False)
+    for origin, normal in planes:
+        d0, d1 = (sum((F.col(f"{c}{e}") - float(o)) * float(n) for c, o, n in zip("xy", origin, normal, strict=True)) for e in (0, 1))
+        at = d0 / (d0 - d1)
+        out = out | ((d0 > 0) & (d1 > 0))
+        first.append(F.when((d0 > 0) & (d1 <= 0), at).otherwise(0.0))
+        last.append(F.when((d0 <= 0) & (d1 > 0), at).otherwise(1.0))
+    ends = {"0": F.greatest(*first) if planes else first[0], "1": F.least(*last) if planes else last[0]}
+    place = lambda c, e: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * ends[e]
+    return segments.where(~out & (ends["0"] <= ends["1"])).withColumns({f"{c}{e}": place(c, e) for c in "xy" for e in "01"})
+
+
 def clamped(points: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
     """Points moved to the nearest place of a box."""
     return points.withColumns({c: F.greatest(F.lit(float(a)), F.least(F.lit(float(b)), F.col(c))) for c, (a, b) in bounds.items()})

@@ -6,11 +6,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spline import Axes
 
-def model(controls: DataFrame, path: str) -> None:
-    """Control points as Parquet, split by model where they carry a model_id."""
+
+def model(controls: DataFrame, axes: Axes, path: str) -> None:
+    """Control points as Parquet, split by model where they carry a model_id, and the axes with their knots as JSON."""
     w = controls.write.mode("overwrite")
-    (w.partitionBy("model_id") if "model_id" in controls.columns else w).parquet(path)
+    (w.partitionBy("model_id") if "model_id" in controls.columns else w).parquet(f"{path}/controls")
+    row = (list(axes.degree), list(axes.controls), [float(x) for x in axes.mins], [float(x) for x in axes.maxs], [k.tolist() for k in axes.knots])
+    schema = "degree array<int>, controls array<int>, mins array<double>, maxs array<double>, knots array<array<double>>"
+    controls.sparkSession.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").json(f"{path}/axes")
+
+
+def roots(points: DataFrame, path: str, eps: float | None = None, value: float | None = None) -> None:
+    """Roots (id, x, y) as CSV: one of each group closer than eps, if given, with a constant value, if given."""
+    from ..operators.spatial import eps_distinct
+
+    csv((points if eps is None else eps_distinct(points, eps)).drop("id"), path, value)
+
+
+def snapped_box(mins, maxs, shape, shares) -> list[tuple[float, float]]:
+    """The box that shares (a, b) of each axis' range name, moved to the nearest grid nodes."""
+    node = lambda s, n: round(s * (n - 1)) / (n - 1)
+    return [(lo + node(a, n) * (hi - lo), lo + node(b, n) * (hi - lo)) for lo, hi, n, (a, b) in zip(mins, maxs, shape, shares, strict=True)]
 
 
 def csv(points: DataFrame, path: str, value: float | None = None) -> None:
